@@ -1,14 +1,16 @@
 """Queries of this subpackage, each an operator over its whole table, and the SQL of those that SQL can express."""
 
-from helicase.llm import mixing, ngram_join, quality
+from helicase.llm import mixing, ngram_join, phrase_dedup, quality
 
 QUERIES = {
+    "op6_phrase_dedup": phrase_dedup.op6_phrase_dedup,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op6_phrase_dedup": phrase_dedup.OP6_SQL,
     "op2_ngram_jaccard": ngram_join.OP2_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
