@@ -1,8 +1,9 @@
 """Queries of this subpackage, each an operator over its whole table, and the SQL of those that SQL can express."""
 
-from helicase.llm import mixing, ngram_join, phrase_dedup, quality
+from helicase.llm import decontaminate, mixing, ngram_join, phrase_dedup, quality
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_phrase_dedup": phrase_dedup.op6_phrase_dedup,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op9_mix_sources": mixing.op9_mix_sources,
@@ -10,6 +11,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_phrase_dedup": phrase_dedup.OP6_SQL,
     "op2_ngram_jaccard": ngram_join.OP2_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
