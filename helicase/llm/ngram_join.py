@@ -9,10 +9,10 @@ threshold. Equal sets are one class and never paired. The global order of the n-
 2. The classes left go through fragments once more, which return how common each n-gram is. Ordered from rare to
    common, a class's first n // 5 + 1 n-grams (at 0.8) hold one of every partner's: the prefix index.
 3. Classes with a prefix n-gram in common are candidates. A pair's overlap is counted in each fragment by itself and
-   summed per pair. Instead of all pairs of an n-gram's bucket, a round pairs the bucket's leader with those members
-   not yet in its component; links merge components, another leader follows. When few pairs across components are left,
-   or rounds no longer help, all of these are counted, each once: no link between components is lost, and pairs inside
-   a component aren't needed, since components are the result.
+   summed per pair. Instead of all pairs of an n-gram's bucket, a round pairs each class outside the bucket's largest
+   component with a leader inside it, in one of the class's buckets; links merge components, another leader follows.
+   When few pairs across components are left, or rounds no longer help, all of these are counted, each once: no link
+   between components is lost, and pairs inside a component aren't needed, since components are the result.
 
 Only step 3's last part can grow with the square of a bucket, and only by members that are alike in rare n-grams, bear
 no link by any leader and lie in different components. There are no caps.
@@ -38,7 +38,7 @@ from helicase.llm.components import connect
 
 #: Fragments of the n-gram order in which the overlaps of pairs are counted.
 PAIR_FRAGMENTS = 8
-ROUNDS = 6
+ROUNDS = 8
 #: Bytes of input for each fragment of the first exchange.
 FRAGMENT_BYTES = 32 << 20
 
@@ -166,17 +166,19 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ordered = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("common", "grams"))))
     sets = segments.join(live.select("key"), "key", "left_semi").groupBy("key").agg(ordered.alias("grams"))
     first = F.slice("grams", 1, F.floor(F.size("grams") * (100 - percent) / 100).cast("int") + 1)
-    sets = c.checkpoint(
-        sets.select(
-            "key",
-            F.size("grams").cast("long").alias("n"),
-            F.transform("grams", lambda g: g["grams"]).alias("grams"),
-            F.transform(F.filter(first, lambda g: g["common"] > 0), lambda g: g["grams"]).alias("prefix"),
-        )
-    )
-    index = sets.select("key", "n", F.explode("prefix").alias("gram"))
     cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PAIR_FRAGMENTS - 1)), lambda f: F.struct(f.alias("fragment"), F.filter("grams", lambda g: F.pmod(F.shiftrightunsigned(g, 61), F.lit(PAIR_FRAGMENTS)) == f).alias("grams"))))
-    cuts = sets.select("key", cut.alias("s")).select("key", "s.fragment", "s.grams").where(F.size("grams") > 0)
+    sets = sets.select(
+        "key",
+        F.size("grams").cast("long").alias("n"),
+        F.transform("grams", lambda g: g["grams"]).alias("grams"),
+        F.transform(F.filter(first, lambda g: g["common"] > 0), lambda g: g["grams"]).alias("prefix"),
+    )
+    #: a row for each class and fragment; the first one also has the class's prefix
+    cuts = sets.select("key", "n", "prefix", cut.alias("s")).select("key", "n", F.when(F.col("s.fragment") == 0, F.col("prefix")).alias("prefix"), "s.fragment", "s.grams")
+    cuts = c.checkpoint(cuts)
+    sets = cuts.where("fragment = 0").select("key", "n", "prefix")
+    index = c.checkpoint(sets.select("key", "n", F.explode("prefix").alias("gram")))
+    cuts = cuts.where(F.size("grams") > 0).select("key", "fragment", "grams")
 
     nodes = c.checkpoint(sets.select("key", F.col("key").alias("label")))
     found: list[DataFrame] = []
@@ -186,20 +188,28 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for r in range(ROUNDS + 1):
         labelled = index.join(nodes, "key")
         groups = labelled.groupBy("gram", "label").agg(F.count("*").alias("m"))
-        buckets = groups.groupBy("gram").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.max_by("label", "m").alias("largest"), F.count("*").alias("labels")).where("labels > 1")
+        buckets = groups.groupBy("gram").agg(
+            F.sum("m").alias("all"),
+            F.sum(F.col("m") * F.col("m")).alias("inside"),
+            F.max_by("label", F.struct("m", F.xxhash64("label", F.lit(r)))).alias("largest"),
+            F.count("*").alias("labels"),
+        ).where("labels > 1")
+        buckets = c.checkpoint(buckets)
         left = buckets.agg(F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
         if not left["pairs"]:
             break
-        last = left["pairs"] <= 4 * left["rows"] + 10_000 or r == ROUNDS or (left_before is not None and left["pairs"] > 0.9 * left_before)
+        last = left["pairs"] <= left["rows"] / 2 or r == ROUNDS or (left_before is not None and left["pairs"] > 0.95 * left_before)
         left_before = left["pairs"]
-        open_ = labelled.join(buckets.select("gram", "largest"), "gram")
+        open_ = labelled.join(buckets.select("gram", "largest", "all"), "gram")
         if last:
             small = open_.where("label <> largest").select("gram", F.col("key").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"))
             other = open_.select("gram", F.col("key").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq"))
             pairs = small.join(other, "gram").where((F.col("lp") != F.col("lq")) & alike(F.col("np"), F.col("nq")))
         else:
-            leader = open_.groupBy("gram").agg(F.min_by(F.struct("key", "label", "n"), F.xxhash64("label", "key", F.lit(r))).alias("l"))
-            pairs = open_.join(leader, "gram").where((F.col("label") != F.col("l.label")) & alike(F.col("n"), F.col("l.n")))
+            leader = open_.where("label = largest").groupBy("gram").agg(F.min_by(F.struct("key", "n"), F.xxhash64("key", F.lit(r))).alias("l"))
+            taste = F.struct("all", "gram") if r % 2 == 0 else F.struct(F.xxhash64("gram", F.lit(r)), "gram")
+            picked = open_.where("label <> largest").groupBy("key", "n").agg(F.max_by("gram", taste).alias("gram"))
+            pairs = picked.join(leader, "gram").where(alike(F.col("n"), F.col("l.n")))
             pairs = pairs.select(F.col("key").alias("p"), F.col("n").alias("np"), F.col("l.key").alias("q"), F.col("l.n").alias("nq"))
         swap = F.col("p") > F.col("q")
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
