@@ -1,8 +1,9 @@
 """Queries of this subpackage, each an operator over its whole table, and the SQL of those that SQL can express."""
 
-from helicase.llm import decontaminate, mixing, ngram_join, phrase_dedup, quality, token_counts
+from helicase.llm import decontaminate, mixing, ngram_join, phrase_dedup, pii, quality, token_counts
 
 QUERIES = {
+    "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_phrase_dedup": phrase_dedup.op6_phrase_dedup,
