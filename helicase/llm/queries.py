@@ -1,8 +1,10 @@
 """Queries of this subpackage, each an operator over its whole table, and the SQL of those that SQL can express."""
 
-from helicase.llm import decontaminate, mixing, ngram_join, phrase_dedup, pii, quality, token_counts
+from helicase.llm import decontaminate, mixing, ngram_join, phrase_dedup, pii, quality, token_counts, url_filter, warc
 
 QUERIES = {
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op8_warc_revisits": warc.op8_warc_revisits,
     "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_decontaminate": decontaminate.op4_decontaminate,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_warc_revisits": warc.OP8_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_phrase_dedup": phrase_dedup.OP6_SQL,
     "op2_ngram_jaccard": ngram_join.OP2_SQL,
