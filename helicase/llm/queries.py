@@ -1,8 +1,9 @@
 """Queries of this subpackage, each an operator over its whole table, and the SQL of those that SQL can express."""
 
-from helicase.llm import decontaminate, mixing, ngram_join, phrase_dedup, pii, quality, token_counts, url_filter, warc
+from helicase.llm import decontaminate, html_text, mixing, ngram_join, phrase_dedup, pii, quality, token_counts, url_filter, warc
 
 QUERIES = {
+    "op7_html_text": html_text.op7_html_text,
     "op5_url_filter": url_filter.op5_url_filter,
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op1_pii_surrogates": pii.op1_pii_surrogates,
