@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +29,17 @@ def word_count(text: Column) -> Column:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the cluster's shared folder; a folder of this machine only where none is configured."""
+    """Cuts the lineage by a table in the cluster's shared checkpoint folder; a folder of this machine only where none is configured.
+
+    A written table rather than DataFrame.checkpoint(): that one carries the plan's constraints along, which multiply
+    over rounds, and Parquet takes less disk. The folder is the application's own and can go when it ends.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helicase-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scan_bytes(df: DataFrame) -> int:
@@ -41,3 +50,20 @@ def scan_bytes(df: DataFrame) -> int:
 def fan_out(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Partitions for an exchange of what is derived from df: in proportion to its bytes, at least the session's number."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(min(scan_bytes(df), 1 << 50) / bytes_each), 1)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """df, with this package sent to the executors once per application, so that Python workers can import it anywhere."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="helicase-")) / "helicase.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+    return df

@@ -16,6 +16,7 @@ get equal results; other columns stay, except those named like the output column
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -118,8 +119,23 @@ def find(texts: list[list[bytes]], p: Phrases) -> tuple[np.ndarray, list[set[int
     return hit, items
 
 
-def _pass(shared, columns: int, text: int, drop: bool) -> Callable:
-    """One block over the documents; adds to the spans and items that earlier blocks found. drop: the text goes no further."""
+RUN = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def without(text: bytes, spans: list[dict]) -> bytes:
+    """text without the words of the spans and what stands between them."""
+    if not spans:
+        return text
+    at = [m.span() for m in RUN.finditer(text.translate(PARTS))]
+    out, start = [], 0
+    for s in spans:
+        out.append(text[start : at[s["start"]][0]])
+        start = at[s["end"] - 1][1]
+    return b"".join([*out, text[start:]])
+
+
+def _pass(shared, columns: int, text: int, then: str) -> Callable:
+    """One block over the documents; adds to the spans and items that earlier blocks found. then: keep, drop or clean the text."""
 
     def run(tables):
         p = shared.value
@@ -138,25 +154,30 @@ def _pass(shared, columns: int, text: int, drop: bool) -> Callable:
                 names.append(sorted({*i, *(p.items[x] for x in found)}) if found else i)
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             new = [pa.array([len(ws) for ws in texts], pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))]
-            old = [pa.nulls(b.num_rows, x.type) if drop and k == text else x for k, x in enumerate(b.columns[:columns])]
+            old = list(b.columns[:columns])
+            if then == "drop":
+                old[text] = pa.nulls(b.num_rows, old[text].type)
+            elif then == "clean":
+                raw = old[text].cast(pa.binary()).to_pylist()
+                old[text] = pa.array([t if t is None else without(t, s) for t, s in zip(raw, spans, strict=True)], pa.binary()).cast(old[text].type)
             yield pa.record_batch([*old, *new], names=b.schema.names)
 
     return run
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 10, keep_text: bool = True
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 10, then: str = "keep"
 ) -> DataFrame:
     """docs with n_words, spans (words inside occurrences, [start, end)) and items (ids, as strings, sorted).
 
-    With keep_text false the text column comes out null, which saves its way back from the Python workers.
+    then: "keep" leaves the text, "clean" cuts the spans out of it, "drop" makes it null, which saves its way back.
     """
     out = ("n_words", "spans", "items")
     keep = [x for x in docs.columns if x not in out]
     if text_col not in keep:
         raise ValueError(f"{text_col!r} is no column of the documents, or named like an output column")
     inner = [f"__d{i}" for i in range(len(keep))]
-    d = docs.select(
+    d = c.ship(docs).select(
         *[F.col(f"`{x}`").alias(y) for x, y in zip(keep, inner, strict=True)],
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast(FOUND).alias("spans"),
@@ -165,8 +186,8 @@ def find_contamination(
     sc = docs.sparkSession.sparkContext
     passes = [sc.broadcast(p) for p in blocks(benchmark, item_col, item_text_col, k)] or [sc.broadcast(Phrases([], k))]
     for i, shared in enumerate(passes):
-        drop = not keep_text and i == len(passes) - 1
-        d = d.mapInArrow(_pass(shared, len(keep), keep.index(text_col), drop), d.schema)
+        last = i == len(passes) - 1
+        d = d.mapInArrow(_pass(shared, len(keep), keep.index(text_col), then if last else "keep"), d.schema)
     return d.select(*[F.col(y).alias(x) for x, y in zip(keep, inner, strict=True)], *out)
 
 
@@ -176,7 +197,7 @@ def words_hit() -> Column:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = find_contamination(docs, c.table(spark, sf_dir, "benchmark"), keep_text=False)
+    d = find_contamination(docs, c.table(spark, sf_dir, "benchmark"), then="drop")
     return d.select(
         "doc_id", "n_words", words_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),

@@ -302,7 +302,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", tree: Tree | None = N
     """pages without the html column, with the main text as text."""
     keep = [x for x in pages.columns if x not in (html_col, "text")]
     inner = [f"__h{i}" for i in range(len(keep))]
-    d = pages.select(*[F.col(f"`{x}`").alias(y) for x, y in zip(keep, inner, strict=True)], F.col(f"`{html_col}`").alias("__html"))
+    d = c.ship(pages).select(*[F.col(f"`{x}`").alias(y) for x, y in zip(keep, inner, strict=True)], F.col(f"`{html_col}`").alias("__html"))
     schema = d.drop("__html").withColumn("text", F.lit("")).schema
     d = d.mapInArrow(_extract(tree or trained(), len(keep)), schema)
     return d.select(*[F.col(y).alias(x) for x, y in zip(keep, inner, strict=True)], "text")

@@ -10,7 +10,8 @@ threshold. Equal sets are one class and never paired. The global order of the n-
    common, a class's first n // 5 + 1 n-grams (at 0.8) hold one of every partner's: the prefix index.
 3. Classes with a prefix n-gram in common are candidates. A pair's overlap is counted in each fragment by itself and
    summed per pair. Instead of all pairs of an n-gram's bucket, a round pairs each class outside the bucket's largest
-   component with a leader inside it, in one of the class's buckets; links merge components, another leader follows.
+   component with the leader inside it, in a few of the class's buckets. Leaders are the classes of the most common
+   n-grams, the centre of their kind. Links merge components, other leaders follow.
    When few pairs across components are left, or rounds no longer help, all of these are counted, each once: no link
    between components is lost, and pairs inside a component aren't needed, since components are the result.
 
@@ -39,6 +40,8 @@ from helicase.llm.components import connect
 #: Fragments of the n-gram order in which the overlaps of pairs are counted.
 PAIR_FRAGMENTS = 8
 ROUNDS = 8
+#: Pairs across components are all counted once they are so many for each row of the open buckets, or fewer.
+PAIRS_A_ROW = 8
 #: Bytes of input for each fragment of the first exchange.
 FRAGMENT_BYTES = 32 << 20
 
@@ -148,7 +151,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, class_key, n_links) for every row of df; n_links: links the rounds confirmed for its class."""
     spark = df.sparkSession
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    docs = c.ship(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     fragments = max(6, -(-c.scan_bytes(df) // FRAGMENT_BYTES))
     parts = c.fan_out(df)
 
@@ -170,46 +173,55 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = sets.select(
         "key",
         F.size("grams").cast("long").alias("n"),
+        (F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a + g["common"]) / F.size("grams")).alias("central"),
+        F.size(F.filter("grams", lambda g: g["common"] == 0)).alias("own"),
         F.transform("grams", lambda g: g["grams"]).alias("grams"),
         F.transform(F.filter(first, lambda g: g["common"] > 0), lambda g: g["grams"]).alias("prefix"),
     )
     #: a row for each class and fragment; the first one also has the class's prefix
-    cuts = sets.select("key", "n", "prefix", cut.alias("s")).select("key", "n", F.when(F.col("s.fragment") == 0, F.col("prefix")).alias("prefix"), "s.fragment", "s.grams")
+    cuts = sets.select("key", "n", "central", "own", "prefix", cut.alias("s")).select("key", "n", "central", "own", F.when(F.col("s.fragment") == 0, F.col("prefix")).alias("prefix"), "s.fragment", "s.grams")
     cuts = c.checkpoint(cuts)
-    sets = cuts.where("fragment = 0").select("key", "n", "prefix")
-    index = c.checkpoint(sets.select("key", "n", F.explode("prefix").alias("gram")))
+    sets = cuts.where("fragment = 0").select("key", "n", "central", "own", "prefix")
+    index = sets.select("key", "n", "central", "own", F.posexplode("prefix").alias("at", "gram"))
+    index = c.checkpoint(index.select("key", "n", "central", "gram", (F.col("n") - F.col("own") - F.col("at")).alias("rest")))
     cuts = cuts.where(F.size("grams") > 0).select("key", "fragment", "grams")
 
     nodes = c.checkpoint(sets.select("key", F.col("key").alias("label")))
     found: list[DataFrame] = []
     tried: DataFrame | None = None
-    alike = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+    def fits(n, m, n_rest, m_rest):
+        """Of the n-grams from a common one on, enough for the overlap; true for the first one that a linked pair has in common."""
+        return F.least(n_rest, m_rest) * (100 + percent) >= (n + m) * percent
+
     left_before = None
     for r in range(ROUNDS + 1):
         labelled = index.join(nodes, "key")
-        groups = labelled.groupBy("gram", "label").agg(F.count("*").alias("m"))
+        groups = labelled.groupBy("gram", "label").agg(F.count("*").alias("m"), F.max(F.struct("central", "key")).alias("top"))
         buckets = groups.groupBy("gram").agg(
             F.sum("m").alias("all"),
             F.sum(F.col("m") * F.col("m")).alias("inside"),
-            F.max_by("label", F.struct("m", F.xxhash64("label", F.lit(r)))).alias("largest"),
+            F.max_by("label", F.struct("m", "top")).alias("largest"),
             F.count("*").alias("labels"),
         ).where("labels > 1")
         buckets = c.checkpoint(buckets)
         left = buckets.agg(F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
         if not left["pairs"]:
             break
-        last = left["pairs"] <= left["rows"] / 2 or r == ROUNDS or (left_before is not None and left["pairs"] > 0.95 * left_before)
+        last = left["pairs"] <= PAIRS_A_ROW * left["rows"] or r == ROUNDS or (left_before is not None and left["pairs"] > 0.98 * left_before)
         left_before = left["pairs"]
         open_ = labelled.join(buckets.select("gram", "largest", "all"), "gram")
         if last:
-            small = open_.where("label <> largest").select("gram", F.col("key").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"))
-            other = open_.select("gram", F.col("key").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq"))
-            pairs = small.join(other, "gram").where((F.col("lp") != F.col("lq")) & alike(F.col("np"), F.col("nq")))
+            small = open_.where("label <> largest").select("gram", F.col("key").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"), F.col("rest").alias("rp"))
+            other = open_.select("gram", F.col("key").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq"), F.col("rest").alias("rq"))
+            pairs = small.join(other, "gram").where((F.col("lp") != F.col("lq")) & fits(F.col("np"), F.col("nq"), F.col("rp"), F.col("rq")))
         else:
-            leader = open_.where("label = largest").groupBy("gram").agg(F.min_by(F.struct("key", "n"), F.xxhash64("key", F.lit(r))).alias("l"))
-            taste = F.struct("all", "gram") if r % 2 == 0 else F.struct(F.xxhash64("gram", F.lit(r)), "gram")
-            picked = open_.where("label <> largest").groupBy("key", "n").agg(F.max_by("gram", taste).alias("gram"))
-            pairs = picked.join(leader, "gram").where(alike(F.col("n"), F.col("l.n")))
+            turn = F.xxhash64("key", F.lit(r)) % (2 if r else 1) == 0
+            leader = open_.where("label = largest").groupBy("gram").agg(F.max_by(F.struct("key", "n", "rest"), F.struct(turn, "central", "key")).alias("l"))
+            outside = open_.where("label <> largest").groupBy("key", "n")
+            picked = outside.agg(F.array_distinct(F.array(F.max_by("gram", F.struct("all", "gram")), *[F.max_by("gram", F.struct(F.xxhash64("gram", F.lit(r * 4 + i)), "gram")) for i in range(3)])).alias("grams"))
+            picked = picked.select("key", "n", F.explode("grams").alias("gram"))
+            pairs = picked.join(leader, "gram").where(fits(F.col("n"), F.col("l.n"), F.col("l.rest"), F.col("l.rest")))
             pairs = pairs.select(F.col("key").alias("p"), F.col("n").alias("np"), F.col("l.key").alias("q"), F.col("l.n").alias("nq"))
         swap = F.col("p") > F.col("q")
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))

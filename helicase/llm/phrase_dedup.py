@@ -184,7 +184,7 @@ def _locate(k: int) -> Callable:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """(id, n_words, n_removed, spans of removed words, kept_text) for every row of df."""
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    docs = c.ship(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     fragments = max(6, -(-c.scan_bytes(df) // SHARD_BYTES))
     shards = c.fan_out(df, SHARD_BYTES)
     packed = docs.mapInArrow(_send(k, fragments), win.PACKED)

@@ -274,7 +274,7 @@ def pseudonymize(df: DataFrame, key: bytes, text_col: str = "text", out: str = "
     if text_col not in keep:
         raise ValueError(f"{text_col!r} is no column, or the output column")
     inner = [f"__p{i}" for i in range(len(keep))]
-    d = df.select(*[F.col(f"`{x}`").alias(y) for x, y in zip(keep, inner, strict=True)])
+    d = c.ship(df).select(*[F.col(f"`{x}`").alias(y) for x, y in zip(keep, inner, strict=True)])
     schema = d.withColumn("__entities", F.array().cast(SPANS)).schema
     d = d.mapInArrow(_rewrite(key, keep.index(text_col)), schema)
     return d.select(*[F.col(y).alias(x) for x, y in zip(keep, inner, strict=True)], F.col("__entities").alias(out))

@@ -289,7 +289,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     keep = [x for x in df.columns if x not in (text_col, "n_bytes", "n_tokens")]
     inner = [f"__t{i}" for i in range(len(keep))]
     text = F.col(f"`{text_col}`")
-    d = df.select(
+    d = c.ship(df).select(
         *[F.col(f"`{x}`").alias(y) for x, y in zip(keep, inner, strict=True)],
         F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"),
         text.alias("__text"),

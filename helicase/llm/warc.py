@@ -87,7 +87,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    raw = spark.read.format("binaryFile").load(path).select("content")
+    raw = c.ship(spark.read.format("binaryFile").load(path)).select("content")
     text = raw.mapInArrow(run, RECORDS.replace("ts timestamp", "ts string"))
     return text.withColumn("ts", F.try_to_timestamp("ts"))
 
