@@ -97,7 +97,8 @@ def clean_lines(df: DataFrame, text_col: str = "text", out: str = "quality", rul
     verdict = ~failed & (100 * F.col("__q_lost") <= rules.max_lost_percent * F.col("__q_chars"))
     named = {"n_words": "__q_n", "word_chars": "__q_chars", "n_symbols": "__q_symbols", "n_dup_lines": "__q_dups", "n_repeat_words": "__q_repeat", "lost_chars": "__q_lost", "text": "__q_passed"}
     result = F.struct(*[F.col(v).alias(k) for k, v in named.items()], failed.alias("base_failed"), verdict.alias("kept"))
-    return d.select(*[F.col(f"`{x}`") for x in keep], result.alias(out))
+    # generated, not projected: a filter on the verdict must not be pushed below, where it would repeat the whole work
+    return d.select(*[F.col(f"`{x}`") for x in keep], F.explode(F.array(result)).alias(out))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
