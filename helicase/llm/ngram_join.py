@@ -43,7 +43,7 @@ ROUNDS = 8
 #: Pairs across components are all counted once they are so many for each row of the open buckets, or fewer.
 PAIRS_A_ROW = 8
 #: Bytes of input for each fragment of the first exchange.
-FRAGMENT_BYTES = 32 << 20
+FRAGMENT_BYTES = 16 << 20
 
 
 def shingle_sets(texts: list[bytes], k: int, known: win.WordHashes) -> list[np.ndarray]:
@@ -195,8 +195,8 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.least(n_rest, m_rest) * (100 + percent) >= (n + m) * percent
 
     left_before = None
+    labelled = index.withColumn("label", F.col("key"))
     for r in range(ROUNDS + 1):
-        labelled = index.join(nodes, "key")
         groups = labelled.groupBy("gram", "label").agg(F.count("*").alias("m"), F.max(F.struct("central", "key")).alias("top"))
         buckets = groups.groupBy("gram").agg(
             F.sum("m").alias("all"),
@@ -210,7 +210,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         last = left["pairs"] <= PAIRS_A_ROW * left["rows"] or r == ROUNDS or (left_before is not None and left["pairs"] > 0.98 * left_before)
         left_before = left["pairs"]
-        open_ = labelled.join(buckets.select("gram", "largest", "all"), "gram")
+        open_ = labelled.join(buckets.select("gram", "largest", "all"), "gram")  # labels only merge: a closed bucket stays closed
         if last:
             small = open_.where("label <> largest").select("gram", F.col("key").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"), F.col("rest").alias("rp"))
             other = open_.select("gram", F.col("key").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq"), F.col("rest").alias("rq"))
@@ -237,6 +237,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             nodes = connect(nodes, links)
         if last:
             break
+        labelled = c.checkpoint(open_.drop("label", "largest", "all").join(nodes, "key"))
 
     links = found[0] if found else spark.createDataFrame([], "a long, b long")
     for more in found[1:]:
