@@ -1,7 +1,9 @@
 """Registry of the engine's own queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from helicase.plans import base, sequences  # noqa: F401
+
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
 
 
 def FLAGSHIP(spark, sf_dir):
