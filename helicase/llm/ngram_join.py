@@ -102,8 +102,8 @@ def _classes(ids: np.ndarray, counts: np.ndarray, h: np.ndarray) -> tuple[np.nda
     return ids, np.repeat(np.arange(len(ids)), counts), h
 
 
-def _shared(width: int) -> Callable:
-    """Partial counts: of each class in a fragment, the n-grams that another class has too."""
+def _shared(width: int, shards: int) -> Callable:
+    """Partial counts: of each class in a fragment, the n-grams that another class has too; a row for each shard of classes."""
 
     def run(tables):
         for _, ids, counts, h in win.unpack(tables, width):
@@ -115,11 +115,26 @@ def _shared(width: int) -> Callable:
             both[:-1] |= same
             n = np.bincount(of[order[both]], minlength=len(keys))
             there = np.flatnonzero(n)
-            yield pa.record_batch([pa.array(keys[there]), pa.array(n[there])], names=["key", "shared"])
+            keys, n = keys[there], n[there].astype("<u4")
+            shard = (keys.view(np.uint64) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            keys, n = keys[order], n[order]
+            ends = np.cumsum(np.bincount(shard, minlength=shards)).tolist()
+            rows = [(s, keys[i:j].astype("<i8").tobytes(), n[i:j].tobytes()) for s, (i, j) in enumerate(zip([0, *ends], ends, strict=False)) if j > i]
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["shard", "keys", "counts"])
 
     return run
 
 
+def _summed(tables: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, shared): a partition's partial counts, all of its shards, summed by class."""
+    rows = [(k, n) for b in tables for k, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    keys, of = np.unique(np.frombuffer(b"".join(k for k, _ in rows), "<i8"), return_inverse=True)
+    n = np.bincount(of, np.frombuffer(b"".join(n for _, n in rows), "<u4"), len(keys)).astype(np.int64)
+    yield pa.record_batch([pa.array(keys), pa.array(n)], names=["key", "shared"])
+
+
 def _commonness(width: int) -> Callable:
     """Each class's n-grams in a fragment with the logarithm of the number of classes that have them."""
 
@@ -158,9 +173,12 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     described = c.checkpoint(docs.mapInArrow(_describe(k), "id long, n long, key long"))
     classes = described.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     packed = docs.select("text").mapInArrow(_to_fragments(k, fragments, 4, 0), win.PACKED)
-    shared = packed.repartition(fragments, "fragment").mapInArrow(_shared(4), "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    partial = packed.repartition(fragments, "fragment").mapInArrow(_shared(4, parts), "shard int, keys binary, counts binary")
+    shared = partial.repartition(parts, "shard").mapInArrow(_summed, "key long, shared long")
     live = classes.join(shared, "key").where(F.col("shared") * 100 >= F.col("n") * percent).select("key", "rep", "n")
     live = c.checkpoint(live)
+    grams = live.agg(F.sum("n")).first()[0] or 0
+    fragments = max(6, -(-grams * 8 // FRAGMENT_BYTES))
 
     again = docs.join(live.where("rep IS NOT NULL").select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi")
     again = again.unionByName(docs.where("id IS NULL"))
