@@ -33,10 +33,8 @@ def decode_text(seq, codec: str) -> Column:
 def huffman_digits(text, base: int) -> Column:
     """Code words of the text's UTF-8 bytes, joined."""
     codes = F.array(*[F.lit(c) for c in kernel.huffman(base)])
-    h = F.hex(F.encode(q._col(text), "UTF-8"))
-    starts = F.sequence(F.lit(1), F.length(h) - 1, F.lit(2))
-    words = F.transform(starts, lambda i: F.element_at(codes, F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int") + 1))
-    return F.when(F.length(h) < 2, F.lit("")).otherwise(F.array_join(words, ""))
+    pairs = F.regexp_extract_all(F.hex(F.encode(q._col(text), "UTF-8")), F.lit(".."), F.lit(0))
+    return F.array_join(F.transform(pairs, lambda x: F.element_at(codes, F.conv(x, 16, 10).cast("int") + 1)), "")
 
 
 def naive4(text) -> Column:

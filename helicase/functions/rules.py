@@ -43,7 +43,7 @@ def run_activation(run) -> Column:
 
 def hp_error(seq) -> Column:
     """Mean activation of runs longer than six."""
-    long_ = F.filter(q.run_lengths(seq), lambda n: n > MAX_RUN)
+    long_ = F.transform(q.runs_over(seq, MAX_RUN), F.length)
     total = F.aggregate(long_, F.lit(0.0), lambda a, n: a + run_activation(n))
     return F.when(F.size(long_) > 0, total / F.size(long_)).otherwise(0.0)
 

@@ -40,9 +40,8 @@ def encode_2bit(text) -> Column:
 def decode_2bit(seq) -> Column:
     """Inverse of encode_2bit."""
     digits = F.translate(_col(seq), TRANSPORT, "0123")
-    starts = F.sequence(F.lit(1), F.length(digits) - 3, F.lit(4))
-    bytes_ = F.transform(starts, lambda i: F.lpad(F.conv(F.substring(digits, i, F.lit(4)), 4, 16), 2, "0"))
-    return F.when(F.length(digits) < 4, F.lit("")).otherwise(F.decode(F.unhex(F.array_join(bytes_, "")), "UTF-8"))
+    bytes_ = F.transform(F.regexp_extract_all(digits, F.lit(".{4}"), F.lit(0)), lambda x: F.lpad(F.conv(x, 4, 16), 2, "0"))
+    return F.decode(F.unhex(F.array_join(bytes_, "")), "UTF-8")
 
 
 def complement(seq) -> Column:
@@ -86,9 +85,8 @@ window = sub_sequence
 
 
 def split_every(seq, n: int) -> Column:
-    s = _col(seq)
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(n)), lambda i: F.substring(s, i + 1, F.lit(n)))
-    return F.filter(parts, lambda p: F.length(p) > 0)
+    """Parts of n bases, the last one shorter. By a regular expression: a substring counts its characters from the start."""
+    return F.regexp_extract_all(_col(seq), F.lit(f".{{1,{n}}}"), F.lit(0))
 
 
 def replace_first(seq, source, target) -> Column:
@@ -108,10 +106,8 @@ def last_index_of(seq, what) -> Column:
 
 
 def kmers(seq, k: int) -> Column:
-    """All overlapping k-mers with repeats; none where the strand is shorter."""
-    s = _col(seq)
-    n = F.length(s) - k
-    return F.when(n < 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(0)) + 1), lambda i: F.substring(s, i, F.lit(k))))
+    """All overlapping k-mers with repeats; none where the strand is shorter. Matches of a lookahead move on by one base."""
+    return F.regexp_extract_all(_col(seq), F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
 def base4(seq) -> Column:
@@ -155,8 +151,9 @@ def gc_content(seq) -> Column:
 
 def gc_windows(seq, size) -> Column:
     """GC content of every window of the size."""
-    s, w = _col(seq), _lit(size)
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - w, F.lit(0))), lambda i: gc_count(F.substring(s, i + 1, w)) / w)
+    w = _lit(size)
+    found = F.regexp_extract_all(_col(seq), F.concat(F.lit("(?=(.{"), w.cast("string"), F.lit("}))")), F.lit(1))
+    return F.transform(found, lambda x: gc_count(x) / w)
 
 
 def histogram(seq) -> Column:
@@ -170,6 +167,11 @@ def runs(seq) -> Column:
     return F.regexp_extract_all(_col(seq), F.lit(RUNS), F.lit(1))
 
 
+def runs_over(seq, threshold: int) -> Column:
+    """Runs longer than the threshold, in order."""
+    return F.regexp_extract_all(_col(seq), F.lit("|".join(f"{b}{{{threshold + 1},}}" for b in BASES)), F.lit(0))
+
+
 def run_lengths(seq) -> Column:
     return F.transform(runs(seq), F.length)
 

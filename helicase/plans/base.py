@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helicase.functions import seq as q
-from helicase.shipping import ship
+from helicase.shipping import ship, spread
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,7 +47,9 @@ STRANDS = {
 def strands(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     """(id, seq) of a table's texts at two bits a base."""
     name, key, text = STRANDS[which]
-    return table(spark, sf_dir, name).select(F.col(key).alias("id"), q.encode_2bit(text).alias("seq"))
+    texts = spread(table(spark, sf_dir, name).select(key, text)) if which == "doc" else table(spark, sf_dir, name)
+    # generated, not projected, so that a strand is encoded once however often it is used and filtered on
+    return texts.select(F.col(key).alias("id"), F.explode(F.array(q.encode_2bit(text))).alias("seq"))
 
 
 def sql_strands(which: str) -> str:

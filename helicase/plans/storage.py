@@ -9,6 +9,7 @@ from helicase.functions import codecs, kernel, minhash
 from helicase.functions import seq as q
 from helicase.operators import addressing, collections, container, lsh, oligos
 from helicase.plans.base import query, sql_encode, sql_strands, strands, table
+from helicase.shipping import spread
 from helicase.sources import delimited
 
 LSH = minhash.Lsh(k=5, r=6, b=3)
@@ -33,7 +34,7 @@ def _named(name: str, fn, sql: str | None = None) -> None:
 
 
 _named("codec_huffman3", lambda s, d: table(s, d, "part").select("p_partkey", codecs.huffman_digits("p_name", 3).alias("digits")), f"SELECT p_partkey, {_sql_huffman('p_name', 3)} AS digits FROM part")
-_named("codec_naive4", lambda s, d: table(s, d, "documents").select("doc_id", codecs.naive4("text").alias("seq")), f"SELECT doc_id, translate({_sql_huffman('text', 4)}, '0123', 'ATCG') AS seq FROM documents")
+_named("codec_naive4", lambda s, d: spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", codecs.naive4("text").alias("seq")), f"SELECT doc_id, translate({_sql_huffman('text', 4)}, '0123', 'ATCG') AS seq FROM documents")
 _named("codec_rotating3", lambda s, d: table(s, d, "part").select("p_partkey", codecs.encode_text("p_name", "rotating3").alias("seq")), f"SELECT p_partkey, {_sql_fold(_sql_huffman('p_name', 3), kernel.ROTATION_3, 1)} AS seq FROM part")
 _named("codec_rotating3_digits", lambda s, d: table(s, d, "part").select("p_partkey", codecs.rotate3_digits(codecs.encode_text("p_name", "rotating3")).alias("digits")), f"SELECT p_partkey, {_sql_huffman('p_name', 3)} AS digits FROM part")
 _named("codec_rotating4", lambda s, d: table(s, d, "part").select("p_partkey", codecs.encode_text("p_name", "rotating4").alias("seq")), f"SELECT p_partkey, {_sql_fold(_sql_huffman('p_name', 4), kernel.QUATTRO, 2)} AS seq FROM part")

@@ -1,4 +1,4 @@
-"""Sending this package to executors, so that their Python workers can import it without an installation."""
+"""Sending this package to executors, so that their Python workers can import it without an installation; dealing out small inputs."""
 
 from __future__ import annotations
 
@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame
 _SHIPPED: set[str] = set()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over the cores where its scan has fewer partitions than these; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def ship(df: DataFrame) -> DataFrame:
     """df; the package goes out once per application."""
     sc = df.sparkSession.sparkContext
