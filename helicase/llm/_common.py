@@ -5,19 +5,20 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helicase.shipping import ship, spread  # noqa: F401
+
 #: A word of most contracts: anything but ASCII white space. Same pattern in Java and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def word_array(text: Column) -> Column:
@@ -54,20 +55,3 @@ def scan_bytes(df: DataFrame) -> int:
 def fan_out(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Partitions for an exchange of what is derived from df: in proportion to its bytes, at least the session's number."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(scan_bytes(df) / bytes_each), 1)
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(df: DataFrame) -> DataFrame:
-    """df, with this package sent to the executors once per application, so that Python workers can import it anywhere."""
-    sc = df.sparkSession.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="helicase-")) / "helicase.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for source in sorted(package.rglob("*.py")):
-                z.write(source, source.relative_to(package.parent))
-        sc.addPyFile(str(archive))
-        _SHIPPED.add(sc.applicationId)
-    return df
