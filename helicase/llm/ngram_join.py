@@ -228,7 +228,9 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         last = left["pairs"] <= PAIRS_A_ROW * left["rows"] or r == ROUNDS or (left_before is not None and left["pairs"] > 0.98 * left_before)
         left_before = left["pairs"]
-        open_ = labelled.join(buckets.select("gram", "largest", "all"), "gram")  # labels only merge: a closed bucket stays closed
+        # Written, so that nothing above the join needs an n-gram's rows together and a hot one's can be split; and labels
+        # only merge, so a closed bucket stays closed.
+        open_ = c.checkpoint(labelled.join(buckets.select("gram", "largest", "all"), "gram"))
         if last:
             small = open_.where("label <> largest").select("gram", F.col("key").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"), F.col("rest").alias("rp"))
             other = open_.select("gram", F.col("key").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq"), F.col("rest").alias("rq"))
