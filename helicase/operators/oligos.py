@@ -91,8 +91,9 @@ def addressed(store: Store, ids: DataFrame) -> DataFrame:
     root = ids.select("id").join(keyed.withColumnRenamed("original", "id"), "id")
     root = root.withColumn("part", codecs.unpad(codecs.undo_permutation("payload"), kernel.SEGMENT_DELIMITER))
     header = codecs.unpack_all(F.substring("part", 1, HEADER), True)
-    root = root.withColumn("header", header).withColumn("n", F.element_at("header", 2))
-    more = root.where("n > 0").select("id", F.posexplode(F.sequence(F.element_at("header", 1), F.element_at("header", 1) + F.col("n") - 1)).alias("seg", "original"))
+    # tried, since a filter may run before the join, on oligos without a header
+    root = root.withColumn("header", header).withColumn("n", F.try_element_at("header", F.lit(2)))
+    more = root.where("n > 0").select("id", F.posexplode(F.sequence(F.try_element_at("header", F.lit(1)), F.try_element_at("header", F.lit(1)) + F.col("n") - 1)).alias("seg", "original"))
     more = more.join(keyed, "original").select("id", (F.col("seg") + 1).alias("seg"), "address", "payload")
     return root.select("id", F.lit(0).alias("seg"), "address", "payload").unionByName(more)
 

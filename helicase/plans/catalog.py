@@ -1,6 +1,6 @@
 """Registry of the engine's own queries and their SQL twins."""
 
-from helicase.plans import base, sequences, storage  # noqa: F401
+from helicase.plans import base, packing, sequences, storage  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
