@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helicase.functions import codecs, distance, minhash
 from helicase.functions import seq as q
+from helicase.operators.container import with_dense_ids
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,5 @@ def assign_barcodes(spark, count: int, size: int = 80, permutations: int = 8, ls
         state = settled.select("id", new.alias("state")).persist()
         if state.where("state = 'open'").isEmpty():
             break
-    accepted = made.join(state.where("state = 'accepted'").select("id"), "id").orderBy("id").limit(count)
-    ranked = accepted.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["id"], x[0]["seq"]))
-    return spark.createDataFrame(ranked, "original long, routed long, barcode string")
+    accepted = made.join(state.where("state = 'accepted'").select("id"), "id").select(F.col("id").alias("routed"), F.col("seq").alias("barcode"))
+    return with_dense_ids(accepted, ["routed"], name="original").where(F.col("original") < count).select("original", "routed", "barcode")

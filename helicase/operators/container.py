@@ -14,7 +14,7 @@ def with_dense_ids(df: DataFrame, order: list[str], start: int = 0, name: str =
     """df with ids start, start + 1, ... in the order. Rows are sorted by range, and each partition numbers its own from
     where the partitions before it end, so no task holds all rows."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    # the sizes are one row a partition; the ordering is fixed by the sampled ranges, so it is cached by the caller's plan
+    # one job counts the partitions; ranges and order depend on the rows alone, so a lost partition comes back the same
     numbered = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start))
     return df.sparkSession.createDataFrame(numbered, StructType([*df.schema.fields, StructField(name, LongType())]))
 
