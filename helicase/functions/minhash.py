@@ -107,3 +107,8 @@ class Bloom:
         asked = df.select(F.col(key), F.explode(self.positions(x)).alias("bit"))
         found = asked.join(filter_.withColumn("set", F.lit(1)), "bit", "left")
         return found.groupBy(key).agg((F.count("set") == F.count("*")).alias("maybe"))
+
+
+def bitmap(df: DataFrame, x: str) -> DataFrame:
+    """(bucket, bits): whole numbers from 1 on as bitmaps of 32768 bits, a row for each bucket that has any."""
+    return df.groupBy(F.bitmap_bucket_number(x).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits"))

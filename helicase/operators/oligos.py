@@ -132,3 +132,17 @@ def assemble_raw(oligos: DataFrame, layout: Layout) -> DataFrame:
     """(id, seq) from raw oligos (id, seg, oligo), cut at the address size."""
     cut = q.split_oligo("oligo", layout.address)
     return assemble(oligos.select("id", "seg", cut["address"].alias("address"), cut["payload"].alias("payload")))
+
+
+def referenced(store: Store, ids: DataFrame) -> DataFrame:
+    """(id, addresses, payloads, oligos, size) of the objects: their oligos as arrays in segment order; empty where absent."""
+    rows = addressed(store, ids).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seg", "address", "payload"))).alias("o"))
+    out = ids.select("id").join(rows, "id", "left")
+    of = lambda name: F.coalesce(F.transform("o", lambda x: x[name]), F.array().cast("array<string>"))
+    out = out.select("id", of("address").alias("addresses"), of("payload").alias("payloads"))
+    return out.withColumn("oligos", F.zip_with("addresses", "payloads", lambda a, p: F.concat(a, p))).withColumn("size", F.size("addresses"))
+
+
+def append(store: Store, more: Store) -> Store:
+    """Both stores' rows, where the second one's ids follow the first one's."""
+    return Store(*[getattr(store, x).unionByName(getattr(more, x)) for x in ("objects", "oligos", "routing", "translation")], store.layout)

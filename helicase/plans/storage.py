@@ -188,3 +188,13 @@ _named("util_zip", lambda s, d: table(s, d, "nation").select("n_nationkey", F.tr
 _named("util_enumerate", lambda s, d: table(s, d, "region").select("r_regionkey", F.posexplode(F.split("r_name", "")).alias("i", "ch")), "SELECT r_regionkey, (generate_subscripts(x, 1) - 1)::INTEGER AS i, unnest(x) AS ch FROM (SELECT r_regionkey, string_split(r_name, '') AS x FROM region)")
 _named("util_parse_number", lambda s, d: table(s, d, "customer").select("c_custkey", F.regexp_extract("c_name", r"(\d+)", 1).cast("long").alias("n")), r"SELECT c_custkey, regexp_extract(c_name, '(\d+)', 1)::BIGINT AS n FROM customer")
 _named("util_shuffle", lambda s, d: table(s, d, "nation").select("n_nationkey", F.array_sort(F.shuffle(F.split("n_name", ""), 3)).alias("chars")), "SELECT n_nationkey, list_sort(string_split(n_name, '')) AS chars FROM nation")
+_named("store_referenced", lambda s, d: oligos.referenced(_store(s, d), strands(s, d, "item").select("id")).select("id", "size", F.forall("oligos", lambda x: F.length(x) == 230).alias("whole")), f"WITH {sql_strands('item')} SELECT id, greatest(1, ceil((length(seq) + 43) / {_ROOM}))::INTEGER AS size, true AS whole FROM s")
+_named("store_raw_oligos", lambda s, d: (lambda st: oligos.assemble_raw(oligos.addressed(st, strands(s, d, "item").select("id")).select("id", "seg", F.concat("address", "payload").alias("oligo")), LAYOUT))(_store(s, d)), f"WITH {sql_strands('item')} SELECT id, seq FROM s")
+_named("store_header", lambda s, d: (lambda st: oligos.addressed(st, strands(s, d, "item").select("id")).where("seg = 0").select("id", codecs.unpack_all(F.substring(codecs.unpad(codecs.undo_permutation("payload"), kernel.SEGMENT_DELIMITER), 35, 9)).alias("more")))(_store(s, d)), f"WITH {sql_strands('item')} SELECT id, [greatest(1, ceil((length(seq) + 43) / {_ROOM}))::BIGINT - 1] AS more FROM s")
+_named("bitmap_count", lambda s, d: minhash.bitmap(table(s, d, "orders").select((F.col("o_custkey") + 1).alias("k")), "k").agg(F.sum(F.bitmap_count("bits")).alias("n")), "SELECT count(DISTINCT o_custkey) AS n FROM orders")
+_named("container_next_id", lambda s, d: table(s, d, "customer").agg((F.max("c_custkey") + 1).alias("next")), "SELECT max(c_custkey) + 1 AS next FROM customer")
+_named("container_ids_with_gaps", lambda s, d: s.range(2000).join(_customers(s, d).rows.withColumnRenamed("key", "id"), "id", "left"), "SELECT r.id, c_name AS value FROM (SELECT unnest(range(0, 2000)) AS id) r LEFT JOIN customer ON c_custkey = r.id")
+_named("array_absent", lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("collection_id")).join(_lines(s, d).select("collection_id").distinct(), "collection_id", "left_anti"), "SELECT o_orderkey AS collection_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+_named("list_next_ids", lambda s, d: collections.chained(_lines(s, d), "pos").where("next IS NULL").select("collection_id", F.col("node").alias("tail")), f"WITH {_LINES} SELECT collection_id, max(pos) AS tail FROM a GROUP BY 1")
+_named("address_identity", lambda s, d: addressing.identity(table(s, d, "nation").select(F.col("n_nationkey").alias("original"))), "SELECT n_nationkey AS original, n_nationkey AS routed FROM nation")
+_named("codec_composed", lambda s, d: table(s, d, "part").select("p_partkey", codecs.TWO_BIT.then(codecs.COMPLEMENT).encode(F.col("p_name")).alias("seq"), codecs.TWO_BIT.then(codecs.COMPLEMENT).reverse().encode(codecs.TWO_BIT.then(codecs.COMPLEMENT).encode(F.col("p_name"))).alias("back")), f"SELECT p_partkey, translate({sql_encode('p_name')}, 'ACGT', 'TGCA') AS seq, p_name AS back FROM part")
