@@ -238,6 +238,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         else:
             turn = F.xxhash64("key", F.lit(r)) % (2 if r else 1) == 0
             leader = open_.where("label = largest").groupBy("gram").agg(F.max_by(F.struct("key", "n", "rest"), F.struct(turn, "central", "key")).alias("l"))
+            leader = c.checkpoint(leader)  # as above: the join with a hot n-gram's classes can be split
             outside = open_.where("label <> largest").groupBy("key", "n")
             picked = outside.agg(F.array_distinct(F.array(F.max_by("gram", F.struct("all", "gram")), *[F.max_by("gram", F.struct(F.xxhash64("gram", F.lit(r * 4 + i)), "gram")) for i in range(3)])).alias("grams"))
             picked = picked.select("key", "n", F.explode("grams").alias("gram"))
