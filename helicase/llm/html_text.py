@@ -40,13 +40,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|menu\w*|nav\w*|sidebar\w*|side|footer\w*|header\w*|masthead|breadcrumb\w*|pagination|pager|"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|menu\w*|nav\w*|sidebar\w*|side|footer\w*|breadcrumb\w*|pagination|pager|"
     r"cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search\w*|form|comment\w*|respond|reply|replies|disqus|discussion|"
     r"share|sharing|social|related|recommend\w*|widget\w*|toolbar|copyright|legal|tags|toc|contentinfo|complementary|navigation|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/)?(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Names of a page's head; inside an article they name its own.
+HEAD_HINT = re.compile(r"(?:^|[\s_-])(?:header\w*|masthead)(?:$|[\s_-])", re.IGNORECASE)
 HIDDEN = re.compile(r"""\bhidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 SPACE = re.compile(r"\s+")
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "in_content", "in_boiler", "hinted", "page_has_content")
@@ -134,7 +136,7 @@ def blocks(html: str) -> list[Block]:
             name,
             content or name in CONTENT_TAGS,
             boiler or (name in BOILER_TAGS and not inside),
-            hinted or (bool(named) and name not in ("body", "html") and bool(HINT.search(named))) or bool(attrs and HIDDEN.search(attrs)),
+            hinted or (bool(named) and name not in ("body", "html") and bool(HINT.search(named) or not content and HEAD_HINT.search(named))) or bool(attrs and HIDDEN.search(attrs)),
         ))
     flush()
     return out
