@@ -18,11 +18,14 @@ own result. A null id is larger than all others: it loses words to any document
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,12 +113,17 @@ class Passages:
     """The automaton of a shard: recurring passages as sequences of word numbers, with their owners."""
 
     def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
         self.owners: dict[tuple[int, ...], int] = {}
 
     def sequence(self, words: list[bytes]) -> tuple[int, ...]:
-        n = self.numbers
-        return tuple([n.setdefault(w, len(n)) for w in words])
+        return tuple(map(self.numbers.__getitem__, words))
+
+    def windows(self, texts: list[tuple[int, ...]], k: int) -> Iterator[np.ndarray]:
+        """Window hashes of each text; each different word is hashed once."""
+        of = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), np.uint64, len(self.numbers))
+        for text in texts:
+            yield win.windows(of[np.array(text, np.int64)], k)
 
     def add(self, text: tuple[int, ...], owners: np.ndarray, k: int) -> None:
         """owners: of each window of text, -1 where it doesn't recur. Runs of windows with one owner are passages."""
@@ -133,12 +141,11 @@ class Passages:
 
     def covered(self, text: tuple[int, ...], doc: int) -> np.ndarray:
         """Which words of document doc lie in a passage that a smaller document owns."""
-        depth = np.zeros(len(text) + 1, np.int32)
-        if self.owners:
-            for last, (length, owner) in self.automaton.iter(text):
-                if owner < doc:
-                    depth[last + 1 - length] += 1
-                    depth[last + 1] -= 1
+        found = [(last, length) for last, (length, owner) in self.automaton.iter(text) if owner < doc] if self.owners else []
+        if not found:
+            return np.zeros(len(text), bool)
+        last, length = np.array(found).T
+        depth = np.bincount(last + 1 - length, minlength=len(text) + 1) - np.bincount(last + 1, minlength=len(text) + 1)
         return np.cumsum(depth[:-1]) > 0
 
 
@@ -152,7 +159,7 @@ RESULT = "id long, n_words long, n_removed long, spans array<struct<start:int,en
 
 def _locate(k: int) -> Callable:
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        known, passages = win.WordHashes(), Passages()
+        passages = Passages()
         rows = [(_from_planes(h), _from_planes(o), np.uint64(f)) for f, h, o in zip(told["fragment"].to_pylist(), told["windows"].to_pylist(), told["owners"].to_pylist(), strict=True)]
         h = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.uint64)
         owner = np.concatenate([r[1] for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
@@ -162,7 +169,7 @@ def _locate(k: int) -> Callable:
         ids = _ids(docs["id"].combine_chunks())
         words = [t.split() for t in win.texts(docs["text"].combine_chunks())]
         texts = [passages.sequence(ws) for ws in words]
-        for doc, text, mine in zip(ids.tolist(), texts, _text_windows(words, k, known), strict=True):
+        for doc, text, mine in zip(ids.tolist(), texts, passages.windows(texts, k), strict=True):
             if len(h) and len(mine):
                 mine = mine & low
                 at = np.minimum(np.searchsorted(h, mine), len(h) - 1)
