@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import count, islice
 
 import ahocorasick
 import numpy as np
@@ -138,14 +138,15 @@ class Passages:
             self.automaton.add_word(passage, (len(passage), owner))
         if self.owners:
             self.automaton.make_automaton()
+        self.used, self.owners = bool(self.owners), {}  # the automaton has them now
 
     def covered(self, text: tuple[int, ...], doc: int) -> np.ndarray:
         """Which words of document doc lie in a passage that a smaller document owns."""
-        found = [(last, length) for last, (length, owner) in self.automaton.iter(text) if owner < doc] if self.owners else []
-        if not found:
-            return np.zeros(len(text), bool)
-        last, length = np.array(found).T
-        depth = np.bincount(last + 1 - length, minlength=len(text) + 1) - np.bincount(last + 1, minlength=len(text) + 1)
+        depth = np.zeros(len(text) + 1, np.int64)
+        found = ((last, length) for last, (length, owner) in self.automaton.iter(text) if owner < doc) if self.used else iter(())
+        while some := list(islice(found, 1 << 14)):
+            last, length = np.array(some).T
+            depth += np.bincount(last + 1 - length, minlength=len(depth)) - np.bincount(last + 1, minlength=len(depth))
         return np.cumsum(depth[:-1]) > 0
 
 
@@ -167,8 +168,8 @@ def _locate(k: int) -> Callable:
         h, owner = h[order], owner[order]
         low = np.uint64((1 << 8 * WIDTH) - 1)
         ids = _ids(docs["id"].combine_chunks())
-        words = [t.split() for t in win.texts(docs["text"].combine_chunks())]
-        texts = [passages.sequence(ws) for ws in words]
+        raw = win.texts(docs["text"].combine_chunks())
+        texts = [passages.sequence(t.split()) for t in raw]  # numbers only: all words at once would take ten times the texts
         for doc, text, mine in zip(ids.tolist(), texts, passages.windows(texts, k), strict=True):
             if len(h) and len(mine):
                 mine = mine & low
@@ -176,8 +177,8 @@ def _locate(k: int) -> Callable:
                 passages.add(text, np.where((h[at] == mine) & (owner[at] < doc), owner[at], -1), k)
         passages.compile()
         out: list[list] = [[], [], [], []]
-        for doc, text, ws in zip(ids.tolist(), texts, words, strict=True):
-            gone = passages.covered(text, doc)
+        for doc, text, t in zip(ids.tolist(), texts, raw, strict=True):
+            gone, ws = passages.covered(text, doc), t.split()
             kept = b" ".join([w for w, g in zip(ws, gone.tolist(), strict=True) if not g] if gone.any() else ws)
             for column, v in zip(out, (len(ws), int(gone.sum()), _spans(gone), kept.decode("utf-8", "replace")), strict=True):
                 column.append(v)
@@ -193,7 +194,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_words, n_removed, spans of removed words, kept_text) for every row of df."""
     docs = c.ship(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     fragments = max(6, -(-c.scan_bytes(df) // SHARD_BYTES))
-    shards = c.fan_out(df, SHARD_BYTES)
+    shards = c.fan_out(df, SHARD_BYTES // 2)
     packed = docs.mapInArrow(_send(k, fragments), win.PACKED)
     told = packed.repartition(fragments, "fragment").mapInArrow(_recurring(shards), "shard int, fragment int, windows binary, owners binary")
     dealt = docs.withColumn("shard", shard_column(F.col("id"), shards))
