@@ -107,6 +107,12 @@ def _customers(spark: SparkSession, sf_dir: str) -> container.Table:
     return container.Table(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value")))
 
 
+def _ids_with_gaps(spark: SparkSession, customers: container.Table) -> DataFrame:
+    """(id, value) of every id below the next one, null where there is none; at least the 2000 ids that the SQL lists."""
+    end = customers.rows.agg(F.max("key") + 1).first()[0] or 0
+    return spark.range(max(2000, end)).join(customers.rows.withColumnRenamed("key", "id"), "id", "left")
+
+
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderpriority").alias("value"))
 
@@ -193,7 +199,7 @@ _named("store_raw_oligos", lambda s, d: (lambda st: oligos.assemble_raw(oligos.a
 _named("store_header", lambda s, d: (lambda st: oligos.addressed(st, strands(s, d, "item").select("id")).where("seg = 0").select("id", codecs.unpack_all(F.substring(codecs.unpad(codecs.undo_permutation("payload"), kernel.SEGMENT_DELIMITER), 35, 9)).alias("more")))(_store(s, d)), f"WITH {sql_strands('item')} SELECT id, [greatest(1, ceil((length(seq) + 43) / {_ROOM}))::BIGINT - 1] AS more FROM s")
 _named("bitmap_count", lambda s, d: minhash.bitmap(table(s, d, "orders").select((F.col("o_custkey") + 1).alias("k")), "k").agg(F.sum(F.bitmap_count("bits")).alias("n")), "SELECT count(DISTINCT o_custkey) AS n FROM orders")
 _named("container_next_id", lambda s, d: table(s, d, "customer").agg((F.max("c_custkey") + 1).alias("next")), "SELECT max(c_custkey) + 1 AS next FROM customer")
-_named("container_ids_with_gaps", lambda s, d: s.range(2000).join(_customers(s, d).rows.withColumnRenamed("key", "id"), "id", "left"), "SELECT r.id, c_name AS value FROM (SELECT unnest(range(0, 2000)) AS id) r LEFT JOIN customer ON c_custkey = r.id")
+_named("container_ids_with_gaps", lambda s, d: _ids_with_gaps(s, _customers(s, d)), "SELECT r.id, c_name AS value FROM (SELECT unnest(range(0, 2000)) AS id) r LEFT JOIN customer ON c_custkey = r.id")
 _named("array_absent", lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("collection_id")).join(_lines(s, d).select("collection_id").distinct(), "collection_id", "left_anti"), "SELECT o_orderkey AS collection_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 _named("list_next_ids", lambda s, d: collections.chained(_lines(s, d), "pos").where("next IS NULL").select("collection_id", F.col("node").alias("tail")), f"WITH {_LINES} SELECT collection_id, max(pos) AS tail FROM a GROUP BY 1")
 _named("address_identity", lambda s, d: addressing.identity(table(s, d, "nation").select(F.col("n_nationkey").alias("original"))), "SELECT n_nationkey AS original, n_nationkey AS routed FROM nation")
