@@ -2,7 +2,8 @@
 
 The html is cut into blocks at block-level tags. A block has its words, the share of them in links, whether it is a
 heading, how it is enclosed (article or main; navigation, header, footer, aside, form; an element whose class, id or
-role names an advert, menu, notice, comment or the like), and the same counts of the block before and after. A small
+role names an advert, menu, notice, comment or the like), and the same counts of the block before and after. A telling
+name on a layout wrapper, one around the page's article, doesn't count (see ``_wrappers``). A small
 decision tree, grown here by Gini impurity on a labelled table of blocks, decides which are main text; these are
 joined by a newline in page order.
 
@@ -49,6 +50,9 @@ TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Names of a page's head; inside an article they name its own.
 HEAD_HINT = re.compile(r"(?:^|[\s_-])(?:header\w*|masthead)(?:$|[\s_-])", re.IGNORECASE)
+#: Names that say how a page or an article is laid out: with them, a telling name is no verdict on an article inside.
+LAYOUT = re.compile(r"(?:^|[\s_-])(?:content|main|primary|page|post|hentry|entry|article|layout|wrap|wrapper|container|inner|with|without|no|has|enabled|disabled|open|closed)(?:$|[\s_-])", re.IGNORECASE)
+TALK = re.compile(r"comments|respond|replies|disqus|discussion", re.IGNORECASE)
 HIDDEN = re.compile(r"""\bhidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 SPACE = re.compile(r"\s+")
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "in_content", "in_boiler", "hinted", "page_has_content")
@@ -65,20 +69,47 @@ class Block:
     hinted: bool
 
 
+def _wrappers(page: list[Block], around: list[tuple[int, ...]], hints: list[tuple[int, ...]], titles: list[int], layout: list[bool]) -> set[int]:
+    """Elements with a telling name that lay out the page: they are around the article that has the title or half of the
+    words in articles; on a page without articles, around half of all words and a title, unless the name says layout.
+    around: of each block, the hints that its article is in or bears; hints: those that the block is in."""
+    words = [b.words for b in page]
+    content = sum(n for n, b in zip(words, page, strict=True) if b.content)
+    titled = next((i for i in titles if not content or page[i].content), None)
+    out = set()
+    for h in range(len(layout)):
+        held = around if content else hints
+        most = 2 * sum(n for n, x in zip(words, held, strict=True) if h in x) >= (content or sum(words))
+        has_title = titled is not None and h in held[titled]
+        if (most or has_title) if content else most and (has_title or layout[h]):
+            out.add(h)
+    return out
+
+
 def blocks(html: str) -> list[Block]:
     """Visible text blocks of a page, in order."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, in content, in boilerplate, hinted
+    # tag, in content, in boilerplate, hidden, hints: elements with telling names, those around the content
+    stack: list[tuple[str, bool, bool, bool, tuple[int, ...], tuple[int, ...]]] = []
+    bare = ("", False, False, False, (), ())
+    layout: list[bool] = []
+    hints_of: list[tuple[int, ...]] = []
+    around_of: list[tuple[int, ...]] = []
+    titles: list[int] = []
     linked = links = 0
-    heading = False
+    heading = title = False
 
     def flush() -> None:
         nonlocal linked, parts
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            _, content, boiler, hinted = stack[-1] if stack else ("", False, False, False)
-            out.append(Block(text, len(text.split(" ")), linked, heading, content, boiler, hinted))
+            _, content, boiler, hidden, hints, around = stack[-1] if stack else bare
+            if title:
+                titles.append(len(out))
+            out.append(Block(text, len(text.split(" ")), linked, heading, content, boiler, hidden))
+            hints_of.append(hints)
+            around_of.append(around)
         parts, linked = [], 0
 
     def say(text: str) -> None:
@@ -122,6 +153,7 @@ def blocks(html: str) -> list[Block]:
             continue
         links = 0
         heading = not closing and len(name) == 2 and name[0] == "h"
+        title = not closing and name == "h1"
         if closing:
             at_tag = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at_tag is not None:
@@ -129,16 +161,28 @@ def blocks(html: str) -> list[Block]:
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name or name in BLOCKS - {"p"} and stack and stack[-1][0] == "p":
             stack.pop()
-        _, content, boiler, hinted = stack[-1] if stack else ("", False, False, False)
+        _, content, boiler, hidden, hints, around = stack[-1] if stack else bare
         named = " ".join(x or y or z for x, y, z in NAMED.findall(attrs)) if attrs else ""
         inside = content and name == "header"  # an article's own header
+        lays_out = bool(named) and bool(LAYOUT.search(named)) and not TALK.search(named)
+        if name in CONTENT_TAGS:
+            hints = tuple(h for h in hints if not layout[h])
+        if named and name not in ("body", "html") and not (lays_out and name in CONTENT_TAGS) and (HINT.search(named) or not content and HEAD_HINT.search(named)):
+            hints = (*hints, len(layout))
+            layout.append(lays_out)
         stack.append((
             name,
             content or name in CONTENT_TAGS,
             boiler or (name in BOILER_TAGS and not inside),
-            hinted or (bool(named) and name not in ("body", "html") and bool(HINT.search(named) or not content and HEAD_HINT.search(named))) or bool(attrs and HIDDEN.search(attrs)),
+            hidden or bool(attrs and HIDDEN.search(attrs)),
+            hints,
+            hints if name in CONTENT_TAGS else around,
         ))
     flush()
+    if layout:
+        wrappers = _wrappers(out, around_of, hints_of, titles, layout)
+        for b, hints in zip(out, hints_of, strict=True):
+            b.hinted = b.hinted or any(h not in wrappers for h in hints)
     return out
 
 
@@ -206,6 +250,8 @@ class Tree:
 
 
 TRAINING_PAGES = 400
+#: Telling names of wrappers around an article and its sidebar.
+LAYOUTS = ("content-sidebar-wrap", "content-with-sidebar", "main no-sidebar", "post comment-enabled", "sidebar-right", "page has-banner")
 
 
 def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[tuple[str, list[bool]]]:
@@ -250,7 +296,10 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[tuple[str, l
             menu(rnd.choice(("<nav>", "<div class='menu'>", "<header>", "<div id='main-nav'>")))
         for _ in range(rnd.randint(0, 2)):
             extra()
-        tag = rnd.choice(("article", "article", "main", "div class='post-body'", "div"))
+        wrap = rnd.choice(LAYOUTS) if rnd.random() < 0.3 else None
+        if wrap:
+            html.append(f"<div class='{wrap}'>")
+        tag = rnd.choice(("article", "article", "article class='post comment-enabled'", "main", "div class='post-body'", "div"))
         html.append(f"<{tag}>")
         put(f"<h1>{say(2, 10)}</h1>", True)
         paragraphs(rnd.randint(1, 5))
@@ -260,6 +309,10 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[tuple[str, l
         if rnd.random() < 0.2:
             put(f"<form><label>{say(1, 5)}</label></form>", False)
         html.append(f"</{tag.split()[0]}>")
+        if wrap:
+            if rnd.random() < 0.6:
+                extra()
+            html.append("</div>")
         if rnd.random() < 0.4:
             k = rnd.randint(1, 4)
             put("<div id='comments'>" + "".join(f"<p>{say(2, 60)}</p>" for _ in range(k)) + "</div>", *[False] * k)
