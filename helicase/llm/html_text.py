@@ -11,8 +11,10 @@ The labelled table is made by ``labelled_pages``: bounded (``TRAINING_PAGES`` pa
 its seed, and independent of the data. The tree is grown once per session on the driver and has a few dozen nodes.
 
 Defined cases: null or empty html gives an empty text; plain text without tags is one block; unclosed and stray tags
-close with their container; scripts, styles, comments and the head are markup; nothing is cut or capped; repeated rows
-get equal results; other columns stay, except those named like the output columns.
+close with their container; scripts, styles, comments and the head are markup, and without an end they go on to the
+page's, as in browsers; an element that isn't shown and has no end of its own closes with its container or before the
+next block; nothing is cut or capped; repeated rows get equal results; other columns stay, except those named like the
+output columns.
 """
 
 from __future__ import annotations
@@ -36,7 +38,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-INVISIBLE = frozenset("script style noscript template svg math head iframe object canvas title textarea select option button".split())
+#: What they hold is no markup.
+RAW = frozenset("script style textarea title".split())
+INVISIBLE = frozenset("noscript template svg math iframe object canvas select datalist optgroup option button".split())
+NESTING = frozenset("template svg math object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -47,6 +52,7 @@ HINT = re.compile(
     re.IGNORECASE,
 )
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/)?(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NO_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Names of a page's head; inside an article they name its own.
 HEAD_HINT = re.compile(r"(?:^|[\s_-])(?:header\w*|masthead)(?:$|[\s_-])", re.IGNORECASE)
@@ -86,6 +92,20 @@ def _wrappers(page: list[Block], around: list[tuple[int, ...]], hints: list[tupl
     return out
 
 
+def _ended(html: str, name: str) -> set[int]:
+    """Ends of name's opening tags that have a closing tag of their own."""
+    out, open_ = set(), []
+    for m in re.finditer(rf"<(/?){name}(?![\w:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", html, re.I):
+        if m.group(1):
+            if open_:
+                out.add(open_.pop())
+        else:
+            if name not in NESTING:
+                open_.clear()
+            open_.append(m.end())
+    return out
+
+
 def blocks(html: str) -> list[Block]:
     """Visible text blocks of a page, in order."""
     out: list[Block] = []
@@ -97,6 +117,9 @@ def blocks(html: str) -> list[Block]:
     hints_of: list[tuple[int, ...]] = []
     around_of: list[tuple[int, ...]] = []
     titles: list[int] = []
+    ends: dict[str, set[int]] = {}
+    unseen: list[tuple[int, str, bool]] = []  # open elements that aren't shown: blocks around them, tag, has an end
+    markup: str | None = None
     linked = links = 0
     heading = title = False
 
@@ -114,6 +137,8 @@ def blocks(html: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal linked
+        if unseen:
+            return
         parts.append(text)
         if links:
             linked += len(text.split())
@@ -133,21 +158,52 @@ def blocks(html: str) -> list[Block]:
         if not name:
             continue
         closing, attrs = bool(m.group("close")), m.group("attrs") or ""
-        if name in INVISIBLE:
+        if name in RAW or name == "head":
             if not closing and not attrs.endswith("/"):
                 stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
                 if stop:
                     at = stop.end()
                 elif name != "head":
                     at = end
-            parts.append(" ")
+            say(" ")
+            continue
+        if name in INVISIBLE:
+            say(" ")
+            if closing:
+                i = next((i for i in range(len(unseen) - 1, -1, -1) if unseen[i][1] == name), None)
+                if i is not None:
+                    del stack[unseen[i][0] :]
+                    del unseen[i:]
+            elif not attrs.endswith("/"):
+                if name in ("option", "optgroup") and unseen and unseen[-1][1] == "option":
+                    del stack[unseen.pop()[0] :]
+                if name not in ends:
+                    markup = NO_MARKUP.sub(lambda m: " " * len(m.group()), html) if markup is None else markup
+                    ends[name] = _ended(markup, name)
+                unseen.append((len(stack), name, at in ends[name]))
             continue
-        if name == "a":
+        if name == "a" and not unseen:
             links = max(0, links - 1) if closing else 1
         if name == "br":
             parts.append(" ")
         if name not in BLOCKS:
             continue
+        while unseen and not unseen[-1][2]:
+            unseen.pop()
+        if unseen:
+            if not closing:
+                if name != "hr":
+                    stack.append((name, *(stack[-1] if stack else bare)[1:]))
+                continue
+            at_tag = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if at_tag is None:
+                continue
+            while unseen and unseen[-1][0] > at_tag:  # they close with their container
+                depth = unseen.pop()[0]
+                del stack[depth:]
+            if unseen:
+                del stack[at_tag:]
+                continue
         flush()
         if name == "hr":
             continue
@@ -178,6 +234,8 @@ def blocks(html: str) -> list[Block]:
             hints,
             hints if name in CONTENT_TAGS else around,
         ))
+    if unseen:
+        del stack[unseen[0][0] :]
     flush()
     if layout:
         wrappers = _wrappers(out, around_of, hints_of, titles, layout)

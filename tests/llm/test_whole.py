@@ -19,3 +19,20 @@ def test_article_in_a_layout_wrapper_stays(name, inner):
 def test_boilerplate_around_and_in_articles_goes():
     page = f"<article>{ARTICLE}<div class='ad'><p>{'buy now ' * 40}</p></div></article><div class='related'><article><p>A teaser of another page</p></article></div><div id='comments'>{'<article class=comment-body><p>I agree with every word of it.</p></article>' * 9}</div>"
     assert html_text.main_text(page, html_text.trained()) == TEXT
+
+
+@pytest.mark.parametrize("cut", [
+    "<datalist><option value=a><option value=b></datalist>", "<select><option>One<option>Two</select>", "<select><optgroup label=x><option>One<option>Two</optgroup></select>", "<div><button>Buy</div>",
+    "<button>Buy", "<svg><path d='M0 0'>", "<option>One<option>Two", "<canvas>", "<noscript><div><p>Turn it on</p></div></noscript>", "<object><p>Old plugin</p><object>x</object></object>",
+    "<button>Buy<script>var s = '</button>'</script>", "<template><article><p>Empty</p></article></template>",
+])
+@pytest.mark.parametrize("where", ["<body>{}<article>{}{}</article></body>", "<article>{1}{0}{2}</article><select><option>x</option></select><button>y</button>"])
+def test_elements_that_are_not_shown_end_with_their_container(cut, where):
+    title, rest = ARTICLE[:21], ARTICLE[21:]
+    page = where.format(cut, title, rest)
+    assert html_text.main_text(page, html_text.trained()) == TEXT
+
+
+def test_hidden_elements_in_a_line_leave_it_whole():
+    page = "<article><p>Words before <button>Buy</button>and after <svg><title>t</title><a>z</a></svg>it.</p><p>Plain.<style>p {}</style></p><script>never ends <p>x"
+    assert [b.text for b in html_text.blocks(page)] == ["Words before and after it.", "Plain."]
