@@ -13,10 +13,13 @@ threshold. Equal sets are one class and never paired. The global order of the n-
    component with the leader inside it, in a few of the class's buckets. Leaders are the classes of the most common
    n-grams, the centre of their kind. Links merge components, other leaders follow.
    When few pairs across components are left, or rounds no longer help, all of these are counted, each once: no link
-   between components is lost, and pairs inside a component aren't needed, since components are the result.
+   between components is lost, and components don't need the pairs inside them.
+4. The number of a class's links does (``links=True``): a component's classes are dealt out to blocks, every two blocks
+   meet once, and each meeting counts all overlaps of its classes exactly. It gives one number a class, so what grows
+   with a component's square is arithmetic, and what is exchanged by that square over the size of a block.
 
-Only step 3's last part can grow with the square of a bucket, and only by members that are alike in rare n-grams, bear
-no link by any leader and lie in different components. There are no caps.
+Otherwise only step 3's last part can grow with the square of a bucket, and only by members that are alike in rare
+n-grams, bear no link by any leader and lie in different components. There are no caps.
 
 Defined cases: null or empty text: no shingles, links with nothing, component is its own id. Fewer words than five:
 the whole sequence is the one shingle. Equal rows are one class. A null id takes part and gets the smallest other id
@@ -44,6 +47,10 @@ ROUNDS = 8
 PAIRS_A_ROW = 8
 #: Bytes of input for each fragment of the first exchange.
 FRAGMENT_BYTES = 16 << 20
+#: A block of a component's classes has about so many n-grams and so many classes at most.
+BLOCK_GRAMS, BLOCK_CLASSES = 1 << 18, 1024
+#: N-grams whose overlaps are counted at once, in a matrix of so many columns.
+COLUMNS = 2048
 
 
 def shingle_sets(texts: list[bytes], k: int, known: win.WordHashes) -> list[np.ndarray]:
@@ -163,8 +170,76 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
 
 
-def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, class_key, n_links) for every row of df; n_links: links the rounds confirmed for its class."""
+def _overlap_matrix(keys: np.ndarray, key: np.ndarray, h: np.ndarray, others: np.ndarray, other: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """N-grams that each of keys shares with each of others. (key, h) and (other, g): the n-grams of each, as positions and hashes."""
+    both = np.zeros((len(keys), len(others)), np.int64)
+    shared = np.intersect1d(h, g)  # sorted, distinct
+    at, to = np.searchsorted(shared, h), np.searchsorted(shared, g)
+    a, b = at < len(shared), to < len(shared)
+    a[a] &= shared[at[a]] == h[a]
+    b[b] &= shared[to[b]] == g[b]
+    at, key, to, other = at[a], key[a], to[b], other[b]
+    i, j = np.argsort(at, kind="stable"), np.argsort(to, kind="stable")
+    at, key, to, other = at[i], key[i], to[j], other[j]
+    for lo in range(0, len(shared), COLUMNS):
+        x, y = np.zeros((len(keys), COLUMNS), np.float32), np.zeros((len(others), COLUMNS), np.float32)
+        p, q = slice(*np.searchsorted(at, [lo, lo + COLUMNS])), slice(*np.searchsorted(to, [lo, lo + COLUMNS]))
+        x[key[p], at[p] - lo] = 1
+        y[other[q], to[q] - lo] = 1
+        both += (x @ y.T).astype(np.int64)
+    return both
+
+
+def _block_links(percent: int) -> Callable:
+    """(key, n_links) of two blocks' meeting: links between their classes, or inside the one block that meets itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, row_key = table["side"].to_numpy(), table["key"].to_numpy()
+        grams = table["grams"].combine_chunks()
+        h = grams.flatten().to_numpy(zero_copy_only=False)
+        long_key = np.repeat(row_key, grams.value_lengths().to_numpy(zero_copy_only=False))
+        long_side = np.repeat(side, grams.value_lengths().to_numpy(zero_copy_only=False))
+        found = []
+        for s in (0, 1):
+            mine = long_side == s
+            keys, of = np.unique(long_key[mine], return_inverse=True)
+            found.append((keys, of, h[mine]))
+        left, right = found
+        alone = not len(right[0])
+        if alone:
+            right = left
+        both = _overlap_matrix(*left, *right)
+        n, m = np.bincount(left[1], minlength=len(left[0])), np.bincount(right[1], minlength=len(right[0]))
+        linked = both * 100 >= (n[:, None] + m[None, :] - both) * percent
+        if alone:
+            np.fill_diagonal(linked, False)
+            keys, links = left[0], linked.sum(1)
+        else:
+            keys, links = np.concatenate([left[0], right[0]]), np.concatenate([linked.sum(1), linked.sum(0)])
+        return pa.table({"key": pa.array(keys, pa.int64()), "n_links": pa.array(links.astype(np.int64))})
+
+    return run
+
+
+def _link_counts(nodes: DataFrame, cuts: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(key, n_links): exact numbers of links. nodes (key, label); cuts (key, fragment, grams)."""
+    sizes = cuts.groupBy("key").agg(F.sum(F.size("grams")).alias("n"))
+    groups = nodes.join(sizes, "key").groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("n")).where("m > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_GRAMS), F.ceil(F.col("m") / BLOCK_CLASSES)).cast("int")
+    members = nodes.join(groups.select("label", blocks.alias("blocks")), "label")
+    members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    meet = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side")),
+    )
+    rows = members.select("key", "label", F.explode(meet).alias("x")).select("key", "label", "x.i", "x.j", "x.side")
+    rows = rows.join(cuts.select("key", "grams"), "key").repartition(parts, "label", "i", "j")
+    counted = rows.groupBy("label", "i", "j").applyInArrow(_block_links(percent), "key long, n_links long")
+    return counted.groupBy("key").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, class_key) for every row of df; with links also n_links: the other sets that its set links with."""
     spark = df.sparkSession
     docs = c.ship(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     fragments = max(6, -(-c.scan_bytes(df) // FRAGMENT_BYTES))
@@ -205,7 +280,6 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cuts = cuts.where(F.size("grams") > 0).select("key", "fragment", "grams")
 
     nodes = c.checkpoint(sets.select("key", F.col("key").alias("label")))
-    found: list[DataFrame] = []
     tried: DataFrame | None = None
 
     def fits(n, m, n_rest, m_rest):
@@ -251,24 +325,23 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = c.checkpoint(pairs)
         counted = _overlaps(pairs, cuts)
-        links = c.checkpoint(counted.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"))
-        found.append(links)
+        linked = c.checkpoint(counted.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"))
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        if not links.isEmpty():
-            nodes = connect(nodes, links)
+        if not linked.isEmpty():
+            nodes = connect(nodes, linked)
         if last:
             break
         labelled = c.checkpoint(open_.drop("label", "largest", "all").join(nodes, "key"))
 
-    links = found[0] if found else spark.createDataFrame([], "a long, b long")
-    for more in found[1:]:
-        links = links.unionByName(more)
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     named = classes.join(nodes, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(smallest, "label").join(degree, "key", "left").select("key", "component_id", "n_links")
+    by_class = named.join(smallest, "label").select("key", "component_id")
+    count = []
+    if links:
+        by_class = by_class.join(c.checkpoint(_link_counts(nodes, cuts, percent, parts)), "key", "left")
+        count = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     out = described.join(by_class, "key", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("class_key"), *count)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -281,6 +354,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(c.table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 with each document's class and the number of other classes that it links with."""
+    return jaccard_classes(c.table(spark, sf_dir, "documents"), links=True).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_key", "n_links")
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_phrase_dedup": phrase_dedup.op6_phrase_dedup,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op2_ngram_jaccard_links": ngram_join.op2_ngram_jaccard_links,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quality_rules": quality.op10_quality_rules,
 }

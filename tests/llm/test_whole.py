@@ -1,8 +1,10 @@
 """Corpus operators do the whole job: what earlier versions cut."""
 
+import random
+
 import pytest
 
-from helicase.llm import html_text
+from helicase.llm import html_text, ngram_join
 
 ARTICLE = "<h1>A title here</h1><p>First paragraph with quite a few words in it.</p><p>Second one, as long as the first or longer.</p>"
 SIDE = "<div class='sidebar'><p>Short notes beside</p></div>"
@@ -36,3 +38,23 @@ def test_elements_that_are_not_shown_end_with_their_container(cut, where):
 def test_hidden_elements_in_a_line_leave_it_whole():
     page = "<article><p>Words before <button>Buy</button>and after <svg><title>t</title><a>z</a></svg>it.</p><p>Plain.<style>p {}</style></p><script>never ends <p>x"
     assert [b.text for b in html_text.blocks(page)] == ["Words before and after it.", "Plain."]
+
+
+@pytest.mark.parametrize("block", [16])
+def test_links_of_a_group_are_all_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 64)
+    rnd = random.Random(2)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 4, i * 4 + 100))) for i in range(20)]
+    for i in range(100, 160):
+        copy = list(base)
+        for j in rnd.sample(range(100), 1):
+            copy[j] = f"c{rnd.randrange(20)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(500, rows[0][1]), (501, rows[30][1]), (502, ""), (503, "x y")]
+    sets = {i: frozenset(tuple(t.split()[p : p + 5]) for p in range(max(1, len(t.split()) - 4))) if t else frozenset() for i, t in rows}
+    want = {i: sum(100 * len(s & o) >= 80 * len(s | o) for o in set(sets.values()) if o and s and o != s) for i, s in sets.items()}
+    got = {r["id"]: r["n_links"] for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()}
+    assert got == want
+    assert sum(want.values()) > 1000
