@@ -7,7 +7,7 @@ a column that tells them apart, and one join and one aggregation a step. A host
 share of an average seed's is blocked.
 
 Every step aggregates before its shuffle, and a host's pages are only counted, so a host with a third of all pages is
-one row a task; ranks are joined back to pages by an ordinary join, whose skew adaptive execution splits.
+one row a task; steps go on until the ranks have converged; ranks are joined back to pages by an ordinary join, whose skew adaptive execution splits.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule and is allowed; null html has no
 links; links to a host without pages count as edges; links to the own host don't. Without seeds or links no host is
@@ -67,14 +67,23 @@ def matched(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
+#: Ranks are within so much of an average seed's share, in all of a walk's hosts together; far below any threshold.
+TOLERANCE = 1e-3
+#: More steps than any walk needs: what moves shrinks by the damping in each.
+MOST_STEPS = 400
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = None, damping: float = 0.85) -> DataFrame:
     """Personalised PageRank: edges (walk, src, dst, w), seeds (walk, host, seed) with seeds of a walk summing to 1;
-    returns (walk, host, rank). Mass at a host without edges returns to the seeds."""
+    returns (walk, host, rank). Mass at a host without edges returns to the seeds. Without steps, until it has converged;
+    with them, so many."""
     out = edges.groupBy("walk", "src").agg(F.sum("w").alias("total"))
     share = c.checkpoint(edges.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("w") / F.col("total")).alias("p")))
     seeds = c.checkpoint(seeds)
     rank = seeds.select("walk", "host", F.col("seed").alias("rank"))
-    for step in range(steps):
+    sizes = {r["walk"]: r["k"] for r in seeds.groupBy("walk").agg(F.count("*").alias("k")).collect()} if steps is None else {}
+    before = rank
+    for step in range(MOST_STEPS if steps is None else steps):
         flow = rank.join(share, (rank.walk == share.walk) & (rank.host == share.src)).select(rank.walk, F.col("dst").alias("host"), (F.col("rank") * F.col("p") * damping).alias("m"))
         flow = flow.groupBy("walk", "host").agg(F.sum("m").alias("m"))
         kept = flow.groupBy("walk").agg(F.sum("m").alias("moved"))
@@ -82,11 +91,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = 10, damping: floa
         rank = flow.unionByName(back).groupBy("walk", "host").agg(F.sum("m").alias("rank"))
         if step % 3 == 2:
             rank = c.checkpoint(rank)
+            if steps is None:
+                # between two written tables: what is still to move is at most the geometric series of these steps' change
+                both = rank.select("walk", "host", "rank").unionByName(before.select("walk", "host", (-F.col("rank")).alias("rank")))
+                change = both.groupBy("walk", "host").agg(F.abs(F.sum("rank")).alias("d")).groupBy("walk").agg(F.sum("d").alias("d")).collect()
+                rest = max((r["d"] * sizes[r["walk"]] for r in change), default=0.0) * damping**3 / (1 - damping**3)
+                before = rank
+                if rest <= TOLERANCE:
+                    return rank
+    if steps is None:
+        raise RuntimeError(f"ranks have not converged in {MOST_STEPS} steps")
     return rank
 
 
 def judge(
-    pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: Sequence[Rule] = RULES, steps: int = 10, threshold: float = 0.1
+    pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: Sequence[Rule] = RULES, steps: int | None = None, threshold: float = 0.1
 ) -> DataFrame:
     """pages with host, path, rule, verdict, trust and distrust; trust and distrust are in average seeds' shares."""
     out = ("host", "path", "rule", "verdict", "trust", "distrust")

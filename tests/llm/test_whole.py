@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from helicase.llm import html_text, ngram_join
+from helicase.llm import html_text, ngram_join, url_filter
 
 ARTICLE = "<h1>A title here</h1><p>First paragraph with quite a few words in it.</p><p>Second one, as long as the first or longer.</p>"
 SIDE = "<div class='sidebar'><p>Short notes beside</p></div>"
@@ -58,3 +58,15 @@ def test_links_of_a_group_are_all_counted(spark, monkeypatch, block):
     got = {r["id"]: r["n_links"] for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()}
     assert got == want
     assert sum(want.values()) > 1000
+
+
+def test_distrust_goes_as_far_as_links_do(spark):
+    pages = [(i, f"http://bad{i}.net/", "") for i in range(100)]
+    pages.append((100, "http://a1.com/", "".join(f"<a href='http://bad{i}.net/'>x</a>" for i in range(100))))
+    pages += [(99 + i, f"http://a{i}.com/", f"<a href='http://a{i - 1}.com/'>x</a>") for i in range(2, 13)]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    # mass that reaches the end of the chain returns to the seeds
+    seed = 1 / sum(0.85**i for i in range(13))
+    assert got[111]["verdict"] == "block"
+    assert got[111]["distrust"] == pytest.approx(100 * seed * 0.85**12, abs=2e-3)
+    assert got[0]["distrust"] == pytest.approx(seed, abs=2e-3)
