@@ -20,6 +20,8 @@ BOILERPLATE = (
     "licensed under|all rights reserved|copyright|terms of (use|service)|privacy policy|use cookies|"
     "cookie policy|click here|sign up|subscribe|log in|enable javascript|lorem ipsum"
 )
+#: Their first two letters: tested before the phrases themselves are tried.
+BOILERPLATE_STARTS = "".join("[" + "".join(sorted({x[i].lower() + x[i].upper() for x in BOILERPLATE.split("|")})) + "]" for i in (0, 1))
 
 
 @dataclass(frozen=True)
@@ -35,34 +37,41 @@ class LineRules:
     max_repeat_percent: int = 50  #: of words inside repeated 3-word windows
 
 
-def _removed(line: Column, text: str) -> Column:
-    return F.length(line) - F.length(F.translate(line, text, ""))
+def _without(line: Column, text: str) -> Column:
+    """Bytes that go when text is cut out of line."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(text), F.lit("")))
 
 
-def line_fails(line: Column, r: LineRules) -> Column:
-    """True for a line that is navigation, symbols, shouting, unpunctuated or boilerplate."""
-    words = F.regexp_count(line, F.lit(c.WORD))
-    bangs = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))
+def _measured(line: Column) -> Column:
+    """What more than one rule asks of a line, so that it is counted once."""
+    return F.struct(line.alias("l"), F.regexp_count(line, F.lit(c.WORD)).alias("n"))
+
+
+def line_fails(line: Column, words: Column, r: LineRules) -> Column:
+    """True for a line that is navigation, symbols, shouting, unpunctuated or boilerplate. words: how many it has."""
     return (
-        (_removed(line, "|") >= r.nav_bars)
-        | (_removed(line, SYMBOLS) > words)
-        | (3 * bangs > 2 * F.greatest(words, F.lit(1)))
+        (_without(line, "|") >= r.nav_bars)
+        | (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) > words)
+        | (3 * _without(line, "!!") > 2 * F.greatest(words, F.lit(1)))
         | ((words >= r.shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"))
         | ((words >= r.unmarked_words) & ~line.rlike(SENTENCE_MARK))
-        | ((words <= r.boilerplate_words) & line.rlike(f"(?i)({BOILERPLATE})"))
+        | ((words <= r.boilerplate_words) & line.rlike(f"(?={BOILERPLATE_STARTS})(?i:{BOILERPLATE})"))
     )
 
 
-def _repeat_words(windows: str) -> Column:
-    """Words inside 3-word windows found twice or more: equal neighbours of the sorted windows give the positions, whose union is summed."""
-    ws = F.col(windows)
-    same = lambda x, other: x["h"].eqNullSafe(other["h"])
-    found = F.transform(ws, lambda x, i: F.when(same(x, F.get(ws, i - 1)) | same(x, F.get(ws, i + 1)), x["p"]))
-    starts = F.sort_array(F.filter(found, lambda p: p.isNotNull()))
-    none = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-    return F.aggregate(
-        starts, none, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"]
-    ).cast("long")
+def _with_repeat_words(d: DataFrame, windows: str, out: str) -> DataFrame:
+    """d with ``out``, the words inside 3-word windows found twice or more. windows: the hashes of all, in order; where
+    they all differ, as in most texts, the answer is 0. Else equal neighbours of the sorted windows give the positions,
+    whose union is summed. Windows of one text are told apart by 64-bit hashes."""
+    placed, starts = F.col("__q_placed"), F.col("__q_starts")
+    same = lambda x, other: x["h"] == F.get(placed, other)["h"]
+    found = F.transform(F.filter(placed, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"])
+    news = F.transform(starts, lambda p, i: F.least(F.lit(3), p - F.coalesce(F.get(starts, i - 1), F.lit(-3))))
+    some = F.size(F.array_distinct(F.col(windows))) < F.size(windows)
+    all_placed = F.transform(F.col(windows), lambda h, i: F.struct(h.alias("h"), i.alias("p")))
+    d = d.withColumn("__q_placed", F.sort_array(F.when(some, all_placed).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))))
+    d = d.withColumn("__q_starts", F.sort_array(found))
+    return d.withColumn(out, F.aggregate(news, F.lit(0), lambda a, x: a + x).cast("long")).drop("__q_placed", "__q_starts")
 
 
 def clean_lines(df: DataFrame, text_col: str = "text", out: str = "quality", rules: LineRules = LineRules()) -> DataFrame:
@@ -71,28 +80,28 @@ def clean_lines(df: DataFrame, text_col: str = "text", out: str = "quality", rul
     keep = [x for x in df.columns if x != out]
     t, words, lines, windows, bad = ("__q_text", "__q_words", "__q_lines", "__q_windows", "__q_bad")
     d = df.select(*[F.col(f"`{x}`") for x in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(t))
-    d = d.withColumns({words: c.word_array(F.col(t)), lines: F.split(t, "\n")})
+    d = d.withColumns({words: c.word_array(F.col(t)), lines: F.transform(F.split(t, "\n"), _measured)})
     n, w = F.size(words), F.col(words)
-    window = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
+    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     d = d.withColumns({
-        windows: F.sort_array(F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))),
-        bad: F.transform(lines, lambda x: line_fails(x, rules)),
+        windows: F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<bigint>")),
+        bad: F.transform(lines, lambda x: line_fails(x["l"], x["n"], rules)),
     })
-    worded = F.filter(lines, lambda x: x.rlike(c.WORD))
-    solid = lambda x: F.length(F.translate(x, c.SPACES, "")).cast("long")
+    worded = F.transform(F.filter(lines, lambda x: x["n"] > 0), lambda x: x["l"])
+    solid = lambda x: F.length(F.regexp_replace(x, f"[{c.SPACE_CLASS}]+", "")).cast("long")
     lost = F.aggregate(
-        F.zip_with(lines, bad, lambda x, b: F.when(b, solid(x)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x
+        F.zip_with(lines, bad, lambda x, b: F.when(b, solid(x["l"])).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x
     )
-    passed = F.array_join(F.filter(F.zip_with(lines, bad, lambda x, b: F.when(~b, x)), lambda x: x.isNotNull()), "\n")
+    passed = F.array_join(F.filter(F.zip_with(lines, bad, lambda x, b: F.when(~b, x["l"])), lambda x: x.isNotNull()), "\n")
     d = d.withColumns({
         "__q_n": n.cast("long"),
-        "__q_chars": solid(F.col(t)),
-        "__q_symbols": _removed(F.col(t), SYMBOLS).cast("long"),
+        "__q_chars": F.length(F.array_join(words, "")).cast("long"),
+        "__q_symbols": F.regexp_count(F.col(t), F.lit(f"[{SYMBOLS}]")).cast("long"),
         "__q_dups": (F.size(worded) - F.size(F.array_distinct(worded))).cast("long"),
-        "__q_repeat": _repeat_words(windows),
         "__q_lost": lost,
         "__q_passed": passed,
     })
+    d = _with_repeat_words(d, windows, "__q_repeat")
     failed = (F.col("__q_n") < rules.min_words) | (100 * F.col("__q_repeat") > rules.max_repeat_percent * F.col("__q_n"))
     verdict = ~failed & (100 * F.col("__q_lost") <= rules.max_lost_percent * F.col("__q_chars"))
     named = {"n_words": "__q_n", "word_chars": "__q_chars", "n_symbols": "__q_symbols", "n_dup_lines": "__q_dups", "n_repeat_words": "__q_repeat", "lost_chars": "__q_lost", "text": "__q_passed"}
