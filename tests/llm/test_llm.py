@@ -402,7 +402,7 @@ def test_html_tree_on_held_out_pages():
     tree = html_text.trained()
     right = total = 0
     for page, labels in html_text.labelled_pages(150, seed=77):
-        got = tree.predict(html_text.features(html_text.blocks(page)))
+        got = tree.predict(html_text.features(html_text.parsed(page)))
         right += int((got == np.array(labels)).sum())
         total += len(labels)
     assert right / total >= 0.98
