@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
 LATIN_VOWELS, LATIN_CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
@@ -62,14 +62,18 @@ def permuted(x: int, n: int, key: bytes, tweak: bytes, back: bool = False) -> in
 
 
 def moved(x: int, n: int, key: bytes, tweak: bytes) -> int:
-    """A keyed permutation of range(n) without fixed points, for n of 2 or more."""
+    """A keyed permutation of range(n) without fixed points, for n of 2 or more.
+
+    Twice gives x again for even n, so it must not be walked until a result is in some subset: rank the subset instead.
+    """
     return permuted((permuted(x, n, key, tweak) + n // 2) % n, n, key, tweak, back=True)
 
 
-def replaced(text: str, key: bytes, tweak: str, spoken: bool = False, fixed: Sequence[int] = ()) -> str:
-    """text with its letters and digits replaced, those at the fixed positions kept; the case of each letter stays."""
-    held = set(fixed)
-    places = [(i, a) for i, ch in enumerate(text) if i not in held and (a := alphabet(ch, spoken))]
+def replaced(text: str, key: bytes, tweak: str, spoken: bool = False, fixed: Sequence[int] = (), allowed: Mapping[int, str] | None = None) -> str:
+    """text with its letters and digits replaced, those at the fixed positions kept; the case of each letter stays.
+    allowed: characters that may stand at a position, the text's own among them."""
+    held, allowed = set(fixed), allowed or {}
+    places = [(i, a) for i, ch in enumerate(text) if i not in held and (a := allowed.get(i) or alphabet(ch, spoken))]
     n, x = 1, 0
     for i, a in places:
         x = x * len(a) + a.index(text[i].lower())
