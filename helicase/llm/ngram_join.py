@@ -88,15 +88,14 @@ def _describe(k: int) -> Callable:
 
 
 def _to_fragments(k: int, fragments: int, width: int, text: int) -> Callable:
-    def run(tables):
+    def parts(tables):
         for _, sets in _sets(k, tables, text):
             by_key = {key: s for s in sets if (key := _key(s)) is not None}
             if by_key:
-                ids = np.fromiter(by_key, np.int64, len(by_key))
-                counts = np.fromiter(map(len, by_key.values()), np.int64, len(by_key))
-                yield win.pack(np.concatenate(list(by_key.values())), ids, counts, fragments, width)
+                yield np.concatenate(list(by_key.values())), np.fromiter(by_key, np.int64, len(by_key)), np.fromiter(map(len, by_key.values()), np.int64, len(by_key))
 
-    return run
+    first = win.levels(fragments)[0]
+    return lambda tables: win.packed(parts(tables), fragments, width, first)
 
 
 def _classes(ids: np.ndarray, counts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,9 +109,10 @@ def _classes(ids: np.ndarray, counts: np.ndarray, h: np.ndarray) -> tuple[np.nda
 
 
 def _shared(width: int, shards: int) -> Callable:
-    """Partial counts: of each class in a fragment, the n-grams that another class has too; a row for each shard of classes."""
+    """Partial counts: of each class in a fragment, the n-grams that another class has too; packed by shard of classes,
+    with the counts in the documents' place and the classes' keys in the hashes'."""
 
-    def run(tables):
+    def parts(tables):
         for _, ids, counts, h in win.unpack(tables, width):
             keys, of, h = _classes(ids, counts, h)
             order = np.argsort(h)
@@ -122,24 +122,20 @@ def _shared(width: int, shards: int) -> Callable:
             both[:-1] |= same
             n = np.bincount(of[order[both]], minlength=len(keys))
             there = np.flatnonzero(n)
-            keys, n = keys[there], n[there].astype("<u4")
-            shard = (keys.view(np.uint64) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            keys, n = keys[order], n[order]
-            ends = np.cumsum(np.bincount(shard, minlength=shards)).tolist()
-            rows = [(s, keys[i:j].astype("<i8").tobytes(), n[i:j].tobytes()) for s, (i, j) in enumerate(zip([0, *ends], ends, strict=False)) if j > i]
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["shard", "keys", "counts"])
+            there = there[np.argsort(n[there], kind="stable")]
+            values, many = np.unique(n[there], return_counts=True)
+            yield keys[there].view(np.uint64), values, many
 
-    return run
+    first = win.levels(shards)[0]
+    return lambda tables: win.packed(parts(tables), shards, 8, first)
 
 
 def _summed(tables: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, shared): a partition's partial counts, all of its shards, summed by class."""
-    rows = [(k, n) for b in tables for k, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-    keys, of = np.unique(np.frombuffer(b"".join(k for k, _ in rows), "<i8"), return_inverse=True)
-    n = np.bincount(of, np.frombuffer(b"".join(n for _, n in rows), "<u4"), len(keys)).astype(np.int64)
-    yield pa.record_batch([pa.array(keys), pa.array(n)], names=["key", "shared"])
+    """(key, shared): partial counts summed by class."""
+    for _, values, many, keys in win.unpack(tables, 8):
+        keys, of = np.unique(keys.view(np.int64), return_inverse=True)
+        n = np.bincount(of, np.repeat(values, many), len(keys)).astype(np.int64)
+        yield pa.record_batch([pa.array(keys), pa.array(n)], names=["key", "shared"])
 
 
 def _commonness(width: int) -> Callable:
@@ -242,23 +238,24 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_shingles, component_id, class_key) for every row of df; with links also n_links: the other sets that its set links with."""
     spark = df.sparkSession
     docs = c.ship(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    fragments = max(6, -(-c.scan_bytes(df) // FRAGMENT_BYTES))
+    fragments = win.at_least(-(-c.scan_bytes(df) // FRAGMENT_BYTES))
     parts = c.fan_out(df)
 
     described = c.checkpoint(docs.mapInArrow(_describe(k), "id long, n long, key long"))
     classes = described.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     packed = docs.select("text").mapInArrow(_to_fragments(k, fragments, 4, 0), win.PACKED)
-    partial = packed.repartition(fragments, "fragment").mapInArrow(_shared(4, parts), "shard int, keys binary, counts binary")
-    shared = partial.repartition(parts, "shard").mapInArrow(_summed, "key long, shared long")
+    shards = win.at_least(-(-c.scan_bytes(df) // FRAGMENT_BYTES))
+    partial = win.exchange(packed, fragments, 4).mapInArrow(_shared(4, shards), win.PACKED)
+    shared = win.exchange(partial, shards, 8).mapInArrow(_summed, "key long, shared long")
     live = classes.join(shared, "key").where(F.col("shared") * 100 >= F.col("n") * percent).select("key", "rep", "n")
     live = c.checkpoint(live)
     grams = live.agg(F.sum("n")).first()[0] or 0
-    fragments = max(6, -(-grams * 8 // FRAGMENT_BYTES))
+    fragments = win.at_least(-(-grams * 8 // FRAGMENT_BYTES))
 
     again = docs.join(live.where("rep IS NOT NULL").select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi")
     again = again.unionByName(docs.where("id IS NULL"))
     packed = again.select("text").mapInArrow(_to_fragments(k, fragments, 8, 0), win.PACKED)
-    segments = packed.repartition(fragments, "fragment").mapInArrow(_commonness(8), "key long, grams array<long>, common array<int>")
+    segments = win.exchange(packed, fragments, 8).mapInArrow(_commonness(8), "key long, grams array<long>, common array<int>")
     ordered = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("common", "grams"))))
     sets = segments.join(live.select("key"), "key", "left_semi").groupBy("key").agg(ordered.alias("grams"))
     first = F.slice("grams", 1, F.floor(F.size("grams") * (100 - percent) / 100).cast("int") + 1)

@@ -13,13 +13,14 @@ document and a shard one pattern.
 
 Defined cases: null or empty text: no words, nothing removed, empty kept text. Texts shorter than a window stay whole.
 Repeated rows: documents are compared by id, so rows with one id don't remove each other's words, and each keeps its
-own result. A null id is larger than all others: it loses words to any document and owns none.
+own result. A null id is larger than all others: it loses words to any document and owns none; such rows are dealt out
+by their texts. Ids are below ``NULLS``, the highest million of a long.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import count, islice
 
 import ahocorasick
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from helicase.llm import _common as c
 from helicase.llm import _windows as win
 
-NO_ID = np.iinfo(np.int64).max
-#: 64-bit hashes are cut to so many bytes inside a fragment, whose number holds further bits.
-WIDTH = 7
+#: Rows without an id get one of the highest ones, by their text; these own nothing.
+SPREAD = 1 << 20
+NULLS = int(np.iinfo(np.int64).max) - SPREAD
 SHARD_BYTES = 16 << 20
 PRIME, STEP = (1 << 31) - 1, 48271
 
@@ -44,12 +45,7 @@ def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_column(key: Column, shards: int) -> Column:
-    known = F.coalesce(key, F.lit(int(NO_ID)))
-    return F.pmod(F.pmod(F.pmod(known, F.lit(PRIME)) * STEP, F.lit(PRIME)), F.lit(shards)).cast("int")
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return np.array([NO_ID if x is None else x for x in column.to_pylist()], np.int64)
+    return F.pmod(F.pmod(F.pmod(key, F.lit(PRIME)) * STEP, F.lit(PRIME)), F.lit(shards)).cast("int")
 
 
 def _text_windows(words: list[list[bytes]], k: int, known: win.WordHashes) -> list[np.ndarray]:
@@ -62,49 +58,74 @@ def _text_windows(words: list[list[bytes]], k: int, known: win.WordHashes) -> li
 
 
 def _send(k: int, fragments: int) -> Callable:
-    def run(tables):
+    def parts(tables):
         known = win.WordHashes()
         for b in win.batches(tables, 1):
             per = [np.unique(h) for h in _text_windows([t.split() for t in win.texts(b.column(1))], k, known)]
-            yield win.pack(np.concatenate(per), _ids(b.column(0)), np.array([len(h) for h in per]), fragments, WIDTH)
+            yield np.concatenate(per), b.column(0).to_numpy(zero_copy_only=False), np.array([len(h) for h in per])
 
-    return run
+    first = win.levels(fragments)[0]
+    return lambda tables: win.packed(parts(tables), fragments, 8, first)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes by significance: compresses where values are sorted or small."""
-    return np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+#: Windows that documents of some shards share with smaller ones: runs of one shard and owner, their lengths, the windows.
+TOLD = "range int, shards binary, owners binary, counts binary, hashes binary"
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
+def _told(shard: np.ndarray, owner: np.ndarray, h: np.ndarray, size: int) -> pa.RecordBatch:
+    """Rows of TOLD, one for each range of shards; windows are told to a shard once."""
+    order = np.lexsort((h, owner, shard))
+    shard, owner, h = shard[order], owner[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])
+    shard, owner, h = shard[new], owner[new], h[new]
+    rows: list[list] = [[], [], [], [], []]
+    edges = np.flatnonzero(np.concatenate([[True], shard[1:] // size != shard[:-1] // size, [True]])) if len(h) else np.zeros(1, np.int64)
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        at = np.flatnonzero(np.concatenate([[True], (owner[i + 1 : j] != owner[i : j - 1]) | (shard[i + 1 : j] != shard[i : j - 1])]))
+        many = np.diff(np.append(at, j - i))
+        for column, v in zip(rows, (int(shard[i]) // size, shard[i:j][at].astype("<i4").tobytes(), owner[i:j][at].astype("<i8").tobytes(), many.astype("<u4").tobytes(), h[i:j].tobytes()), strict=True):
+            column.append(v)
+    return pa.record_batch([pa.array(rows[0], pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=["range", "shards", "owners", "counts", "hashes"])
 
 
-def _recurring(shards: int) -> Callable:
-    """Rows (shard, fragment, windows, owners): the windows, each once, that a shard's documents share with a smaller one."""
+def _untold(rows: Iterable[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, owner, window) of rows of TOLD."""
+    shards, owners, counts, hashes = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*rows, strict=True), ("<i4", "<i8", "<u4", "<u8"), strict=True))
+    return np.repeat(shards, counts), np.repeat(owners, counts), hashes
 
-    def run(tables):
-        for fragment, ids, counts, h in win.unpack(tables, WIDTH):
+
+def _gathered(parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[2])
+        if n >= win.PACK_HASHES:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+            yield _told(*whole, size)
+    if n:
+        yield _told(*[np.concatenate(x) for x in zip(*held, strict=True)], size)
+
+
+def _recurring(shards: int, size: int) -> Callable:
+    """Rows of TOLD: the windows that shards' documents share with a smaller one."""
+
+    def parts(tables):
+        for _, ids, counts, h in win.unpack(tables, 8):
             order = np.argsort(h, kind="stable")
             h, doc = h[order], np.repeat(ids, counts)[order]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            owner = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(h))))
-            lost = doc > owner
-            h, owner, shard = h[lost], owner[lost], shard_of(doc[lost], shards)
-            order = np.argsort(shard, kind="stable")
-            h, owner, shard = h[order], owner[order], shard[order]
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])
-            h, owner, shard = h[first], owner[first], shard[first]
-            ends = np.searchsorted(shard, np.arange(shards), "right").tolist()
-            rows: list[list] = [[], [], [], []]
-            begin = 0
-            for s, end in enumerate(ends):
-                if end > begin:
-                    for column, v in zip(rows, (s, fragment, _planes(h[begin:end]), _planes(owner[begin:end])), strict=True):
-                        column.append(v)
-                begin = end
-            yield pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["shard", "fragment", "windows", "owners"])
+            owner = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(h)))) if len(h) else doc
+            lost = (doc > owner) & (owner < NULLS)
+            yield shard_of(doc[lost], shards), owner[lost], h[lost]
+
+    return lambda tables: _gathered(parts(tables), size)
+
+
+def _dealt(size: int) -> Callable:
+    def run(tables):
+        yield from _gathered((_untold([row]) for b in tables for row in zip(*[b.column(k).to_pylist() for k in range(1, 5)], strict=True)), size)
 
     return run
 
@@ -161,18 +182,15 @@ RESULT = "id long, n_words long, n_removed long, spans array<struct<start:int,en
 def _locate(k: int) -> Callable:
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         passages = Passages()
-        rows = [(_from_planes(h), _from_planes(o), np.uint64(f)) for f, h, o in zip(told["fragment"].to_pylist(), told["windows"].to_pylist(), told["owners"].to_pylist(), strict=True)]
-        h = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.uint64)
-        owner = np.concatenate([r[1] for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
+        rows = list(zip(*[told[x].to_pylist() for x in ("shards", "owners", "counts", "hashes")], strict=True))
+        _, owner, h = _untold(rows) if rows else (None, np.empty(0, np.int64), np.empty(0, np.uint64))
         order = np.argsort(h)
         h, owner = h[order], owner[order]
-        low = np.uint64((1 << 8 * WIDTH) - 1)
-        ids = _ids(docs["id"].combine_chunks())
+        ids = docs["id"].to_numpy()
         raw = win.texts(docs["text"].combine_chunks())
         texts = [passages.sequence(t.split()) for t in raw]  # numbers only: all words at once would take ten times the texts
         for doc, text, mine in zip(ids.tolist(), texts, passages.windows(texts, k), strict=True):
             if len(h) and len(mine):
-                mine = mine & low
                 at = np.minimum(np.searchsorted(h, mine), len(h) - 1)
                 passages.add(text, np.where((h[at] == mine) & (owner[at] < doc), owner[at], -1), k)
         passages.compile()
@@ -192,13 +210,20 @@ def _locate(k: int) -> Callable:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """(id, n_words, n_removed, spans of removed words, kept_text) for every row of df."""
-    docs = c.ship(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    fragments = max(6, -(-c.scan_bytes(df) // SHARD_BYTES))
-    shards = c.fan_out(df, SHARD_BYTES // 2)
+    text = F.col(f"`{text_col}`")
+    none = F.lit(NULLS) + F.pmod(F.xxhash64(text), F.lit(SPREAD))
+    docs = c.ship(df).select(F.coalesce(F.col(f"`{id_col}`").cast("long"), none).alias("id"), text.alias("text"))
+    size = c.scan_bytes(df)
+    fragments, shards = win.at_least(-(-size // SHARD_BYTES)), win.at_least(-(-2 * size // SHARD_BYTES))
     packed = docs.mapInArrow(_send(k, fragments), win.PACKED)
-    told = packed.repartition(fragments, "fragment").mapInArrow(_recurring(shards), "shard int, fragment int, windows binary, owners binary")
-    dealt = docs.withColumn("shard", shard_column(F.col("id"), shards))
-    return dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_locate(k), RESULT)
+    first, *finer = win.levels(shards)
+    told = win.exchange(packed, fragments, 8).mapInArrow(_recurring(shards, first), TOLD).repartition(-(-shards // first), "range")
+    for step in finer:
+        told = told.mapInArrow(_dealt(step), TOLD).repartition(-(-shards // step), "range")
+    told = told.withColumnRenamed("range", "shard")
+    dealt = docs.withColumn("shard", shard_column(F.col("id"), shards)).repartition(shards, "shard")
+    found = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_locate(k), RESULT)
+    return found.withColumn("id", F.when(F.col("id") < NULLS, F.col("id")))
 
 
 def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

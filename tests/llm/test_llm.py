@@ -126,9 +126,37 @@ def test_phrase_dedup_edges(spark, empty):
     assert got == Counter([(3, 0), (3, 0), (None, 15), (1, 0), (9, 40), (8, 0)])
 
 
+@pytest.mark.parametrize("fan", [4])
+def test_exchanges_of_many_levels(spark, monkeypatch, docs, corpus, fan):
+    """Fragments and shards in levels of a few."""
+    from helicase.llm import _windows
+
+    monkeypatch.setattr(_windows, "FAN", fan)
+    monkeypatch.setattr(phrase_dedup, "SHARD_BYTES", 5 << 20)
+    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 5 << 20)
+    got = {r["id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in phrase_dedup.remove_repeats(docs).collect()}
+    assert got == brute_repeats(corpus)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_classes(docs).collect()}
+    assert got == brute_components(corpus)
+
+
+def test_packing_in_portions_gives_the_same_hashes():
+    from helicase.llm import _windows as win
+
+    rnd = np.random.default_rng(4)
+    parts = [(rnd.integers(0, 1 << 63, n).astype(np.uint64), np.array([10 * i, 10 * i + 1]), np.array([n // 3, n - n // 3])) for i, n in enumerate((0, 5, 400, 37, 900))]
+    want = sorted((int(d), int(x)) for h, ids, counts in parts for d, x in zip(np.repeat(ids, counts), h, strict=True))
+    for most in (1, 300, 1 << 20):
+        got = []
+        for f, ids, counts, h in win.unpack(win.packed(parts, 50, 8, 1, most), 8):
+            assert (win.fragment_of(h, 50) == f).all()
+            got += [(int(d), int(x)) for d, x in zip(np.repeat(ids, counts), h, strict=True)]
+        assert sorted(got) == want
+
+
 def test_shards_agree_with_the_column(spark):
-    ids = np.array([0, 5, 123456789012, phrase_dedup.NO_ID])
-    df = spark.createDataFrame([(int(i),) for i in ids[:3]] + [(None,)], "i long")
+    ids = np.array([0, 5, 123456789012, phrase_dedup.NULLS + 7])
+    df = spark.createDataFrame([(int(i),) for i in ids], "i long")
     assert [r[0] for r in df.select(phrase_dedup.shard_column(F.col("i"), 7)).collect()] == phrase_dedup.shard_of(ids, 7).tolist()
 
 
