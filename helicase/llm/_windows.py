@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -155,9 +156,9 @@ def _dealt(fragments: int, width: int, size: int) -> Callable:
 def exchange(rows: DataFrame, fragments: int, width: int) -> DataFrame:
     """Rows of ``packed`` for the first of ``levels``, each fragment's in one partition."""
     first, *finer = levels(fragments)
-    out = rows.repartition(-(-fragments // first), "fragment")
+    out = rows.repartitionById(-(-fragments // first), F.col("fragment"))
     for size in finer:
-        out = out.mapInArrow(_dealt(fragments, width, size), PACKED).repartition(-(-fragments // size), "fragment")
+        out = out.mapInArrow(_dealt(fragments, width, size), PACKED).repartitionById(-(-fragments // size), F.col("fragment"))
     return out
 
 

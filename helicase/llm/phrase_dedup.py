@@ -217,11 +217,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fragments, shards = win.at_least(-(-size // SHARD_BYTES)), win.at_least(-(-2 * size // SHARD_BYTES))
     packed = docs.mapInArrow(_send(k, fragments), win.PACKED)
     first, *finer = win.levels(shards)
-    told = win.exchange(packed, fragments, 8).mapInArrow(_recurring(shards, first), TOLD).repartition(-(-shards // first), "range")
+    told = win.exchange(packed, fragments, 8).mapInArrow(_recurring(shards, first), TOLD).repartitionById(-(-shards // first), F.col("range"))
     for step in finer:
-        told = told.mapInArrow(_dealt(step), TOLD).repartition(-(-shards // step), "range")
+        told = told.mapInArrow(_dealt(step), TOLD).repartitionById(-(-shards // step), F.col("range"))
     told = told.withColumnRenamed("range", "shard")
-    dealt = docs.withColumn("shard", shard_column(F.col("id"), shards)).repartition(shards, "shard")
+    dealt = docs.withColumn("shard", shard_column(F.col("id"), shards)).repartitionById(shards, F.col("shard"))
     found = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_locate(k), RESULT)
     return found.withColumn("id", F.when(F.col("id") < NULLS, F.col("id")))
 
