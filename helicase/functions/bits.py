@@ -33,6 +33,22 @@ def to_number(bits) -> Column:
     return F.conv(q._col(bits), 2, 10).cast("long")
 
 
+def slice_(bits, i: int, j: int) -> Column:
+    """Bits from i to before j."""
+    return F.substring(q._col(bits), i + 1, j - i)
+
+
+def set_bit(bits, i: int, value: bool) -> Column:
+    return F.overlay(q._col(bits), F.lit("1" if value else "0"), F.lit(i + 1), F.lit(1))
+
+
+def to_bytes(bits) -> Column:
+    """Whole bytes; bits that are no multiple of eight are an error."""
+    b = q._col(bits)
+    whole = F.array_join(F.transform(F.regexp_extract_all(b, F.lit(".{8}"), F.lit(0)), lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), "")
+    return F.unhex(F.when(F.length(b) % 8 == 0, whole).when(b.isNotNull(), F.raise_error(F.lit("no whole bytes")).cast("string")))
+
+
 def flip(bits, i: int) -> Column:
     b = q._col(bits)
     return F.overlay(b, F.when(F.substring(b, i + 1, 1) == "1", "0").otherwise("1"), F.lit(i + 1), F.lit(1))

@@ -69,7 +69,7 @@ def quattro(digits) -> Column:
 def pack(n, kind: str) -> Column:
     """A number as a typed strand; negative ones as two's complement of the type."""
     sign, size = kernel.PACKED[kind]
-    bits = F.right(F.lpad(F.bin(q._col(n).cast("long")), 2 * size, "0"), F.lit(2 * size))
+    bits = F.right(F.lpad(F.bin(q._col(n).cast("long")), 64, "0"), F.lit(2 * size))
     digits = F.concat(*[F.conv(F.substring(bits, 2 * i + 1, 2), 2, 10) for i in range(size)])
     return F.concat(F.lit(sign), quattro(digits))
 
@@ -102,6 +102,61 @@ def utf16_strand(text) -> Column:
     return out
 
 
+def utf16_text(seq) -> Column:
+    """Inverse of utf16_strand."""
+    digits = F.translate(q._col(seq), q.TRANSPORT, "0123")
+    bytes_ = F.transform(F.regexp_extract_all(digits, F.lit(".{4}"), F.lit(0)), lambda x: F.lpad(F.conv(x, 4, 16), 2, "0"))
+    return F.decode(F.unhex(F.array_join(bytes_, "")), "UTF-16BE")
+
+
+def signed_kind(n) -> Column:
+    """The narrowest type that holds a number in two's complement."""
+    v = q._col(n)
+    out = F.lit("INT_64")
+    for kind, bits in (("INT_32", 32), ("SHORT", 16), ("BYTE", 8), ("HALF_BYTE", 4)):
+        out = F.when(v.between(-(1 << bits - 1), (1 << bits - 1) - 1), kind).otherwise(out)
+    return out
+
+
+def pack_signed(n) -> Column:
+    """A number by its narrowest signed type."""
+    v, out = q._col(n), pack(n, "INT_64")
+    for kind in ("INT_32", "SHORT", "BYTE", "HALF_BYTE"):
+        out = F.when(signed_kind(v) == kind, pack(v, kind)).otherwise(out)
+    return out
+
+
+def zero_permutation(seq) -> Column:
+    """A payload without permutations: three bases that draw its GC content to a half, and the strand."""
+    s = q._col(seq)
+    return F.concat(F.when(2 * q.gc_count(s) > F.length(s), "TAT").otherwise("GCG"), s)
+
+
+def undo_zero_permutation(payload) -> Column:
+    p = q._col(payload)
+    return F.substring(p, F.lit(4), F.length(p))
+
+
+def byte_counts(df, text: str) -> tuple[int, ...]:
+    """How often each byte occurs in a column of texts: 256 numbers, summed before they reach the driver."""
+    pairs = df.select(F.explode(F.regexp_extract_all(F.hex(F.encode(q._col(text), "UTF-8")), F.lit(".."), F.lit(0))).alias("b"))
+    out = [0] * 256
+    for b, n in pairs.groupBy("b").count().collect():
+        out[int(b, 16)] = n
+    return tuple(out)
+
+
+def huffman_encode(text, base: int, freq: tuple[int, ...]) -> Column:
+    """Digits of the Huffman code of given byte frequencies."""
+    codes = F.array(*[F.lit(c) for c in kernel.huffman(base, freq)])
+    pairs = F.regexp_extract_all(F.hex(F.encode(q._col(text), "UTF-8")), F.lit(".."), F.lit(0))
+    return F.array_join(F.transform(pairs, lambda x: F.element_at(codes, F.conv(x, 16, 10).cast("int") + 1)), "")
+
+
+def huffman_decode(digits, base: int, freq: tuple[int, ...]) -> Column:
+    return _mapped(lambda x: kernel.huffman_decode(x, base, freq).decode(), "string")(q._col(digits))
+
+
 def permuted(seq, seed, back: bool = False) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series, k: pd.Series) -> pd.Series:
@@ -170,6 +225,21 @@ class Codec:
         return Codec(lambda a: F.transform(a, self.encode), lambda a: F.transform(a, self.decode))
 
 
+class Asymmetric:
+    """A codec whose decoded values are of another kind than what was encoded."""
+
+    def __init__(self, encode: Callable, decode: Callable) -> None:
+        self.encode, self.decode = encode, decode
+
+    def then(self, other: Codec) -> Asymmetric:
+        """Encodes on with a codec that goes both ways."""
+        return Asymmetric(lambda x: other.encode(self.encode(x)), lambda x: self.decode(other.decode(x)))
+
+    def decoded(self, fn: Callable) -> Asymmetric:
+        """Decodes on with a function."""
+        return Asymmetric(self.encode, lambda x: fn(self.decode(x)))
+
+
 IDENTITY = Codec(lambda x: x, lambda x: x)
 TWO_BIT = Codec(q.encode_2bit, q.decode_2bit)
 COMPLEMENT = Codec(q.complement, q.complement)

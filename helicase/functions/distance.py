@@ -25,6 +25,11 @@ def edit_count(a, b) -> Column:
     return F.levenshtein(q._col(a), q._col(b))
 
 
+def edit_within(a, b, limit: int) -> Column:
+    """Levenshtein distance up to a limit, where counting stops; -1 beyond."""
+    return F.levenshtein(q._col(a), q._col(b), limit)
+
+
 def edit(a, b) -> Column:
     """Levenshtein distance over the greater length; null for two empty strands."""
     longest = F.greatest(F.length(q._col(a)), F.length(q._col(b)))

@@ -56,10 +56,10 @@ def rotate3_decode(seq: str) -> str:
 
 
 @lru_cache(maxsize=8)
-def huffman(base: int) -> tuple[str, ...]:
-    """Code word of each byte: a base-ary Huffman code of the fixed frequencies. Of equal frequencies the node with the
-    smallest byte comes first, so the code is the same everywhere."""
-    freq = [LETTERS[(b | 32) - 97] if chr(b).isascii() and chr(b).isalpha() else 500 for b in range(256)]
+def huffman(base: int, freq: tuple[int, ...] | None = None) -> tuple[str, ...]:
+    """Code word of each byte: a base-ary Huffman code of the frequencies of all 256, or of the fixed ones. Of equal
+    frequencies the node with the smallest byte comes first, so the code is the same everywhere."""
+    freq = freq or tuple(LETTERS[(b | 32) - 97] if chr(b).isascii() and chr(b).isalpha() else 500 for b in range(256))
     heap = [(f, b, b) for b, f in enumerate(freq)]
     heapq.heapify(heap)
     take = 2 + (256 - 2) % (base - 1) if base < 256 else 256
@@ -78,18 +78,30 @@ def huffman(base: int) -> tuple[str, ...]:
     return tuple(codes)
 
 
+def frequencies(lines: list[str]) -> tuple[int, ...]:
+    """Frequencies of all bytes from lines ``byte=count``; bytes that aren't named have 0. Bad lines are an error."""
+    out = [0] * 256
+    for line in lines:
+        if line.strip():
+            byte, sep, n = line.partition("=")
+            if not sep or not 0 <= (b := int(byte) & 0xFF) < 256 or int(n) < 0 or not -128 <= int(byte) < 256:
+                raise ValueError(f"no byte and count: {line!r}")
+            out[b] = int(n)
+    return tuple(out)
+
+
 @lru_cache(maxsize=8)
-def _words(base: int) -> dict[str, int]:
-    return {c: b for b, c in enumerate(huffman(base))}
+def _words(base: int, freq: tuple[int, ...] | None = None) -> dict[str, int]:
+    return {c: b for b, c in enumerate(huffman(base, freq))}
 
 
-def huffman_encode(data: bytes, base: int) -> str:
-    codes = huffman(base)
+def huffman_encode(data: bytes, base: int, freq: tuple[int, ...] | None = None) -> str:
+    codes = huffman(base, freq)
     return "".join([codes[b] for b in data])
 
 
-def huffman_decode(digits: str, base: int) -> bytes:
-    words, out, start = _words(base), bytearray(), 0
+def huffman_decode(digits: str, base: int, freq: tuple[int, ...] | None = None) -> bytes:
+    words, out, start = _words(base, freq), bytearray(), 0
     for end in range(1, len(digits) + 1):
         b = words.get(digits[start:end])
         if b is not None:
@@ -384,10 +396,11 @@ def _mask(packet: int, n: int) -> int:
 
 
 def fountain_encode(data: bytes, max_run: int = 6, spare: int = 0) -> str:
-    """Rateless code: linear packets over the symbols of an eighth of the data, screened by the longest run of their strands.
+    """Rateless code: linear packets over the symbols of an eighth of the data, 64 bytes at most, screened by the longest
+    run of their strands. Most strands of that size pass, so packets are drawn until enough do.
 
     Layout: packed length and symbol size, then packets of a packed number and the symbol's bytes, rotated."""
-    size = max(1, len(data) // 8)
+    size = max(1, min(64, len(data) // 8))
     n = max(1, -(-len(data) // size))
     symbols = [int.from_bytes(data[i * size : (i + 1) * size].ljust(size, b"\0"), "big") for i in range(n)]
     out = [pack(len(data), packed_type(len(data))), pack(size, packed_type(size))]
@@ -400,9 +413,8 @@ def fountain_encode(data: bytes, max_run: int = 6, spare: int = 0) -> str:
             if mask >> i & 1:
                 value ^= symbols[i]
         strand = pack(packet, packed_type(packet)) + quattro_encode(digits_of(value.to_bytes(size, "big")))
-        strict = packet < 64 * (n + spare)
         packet += 1
-        if strict and longest_run(strand) > max_run:
+        if longest_run(strand) > max_run:
             continue
         out.append(strand)
         left = max(0, left - 1)

@@ -76,6 +76,22 @@ def bloom_bits(fpp: float, n: int) -> int:
     return math.ceil(-n * math.log(fpp) / math.log(2) ** 2)
 
 
+def bloom_bits_column(n, fpp: float) -> Column:
+    return F.ceil(-q._col(n) * F.log(F.lit(fpp)) / (F.log(F.lit(2.0)) * F.log(F.lit(2.0))))
+
+
+def bloom_fpp_column(hashes: int, bits, n) -> Column:
+    """The share of false positives after n values."""
+    return F.pow(1 - F.exp(-hashes * q._col(n) / q._col(bits)), F.lit(hashes))
+
+
+def band_key(sig: Column, lsh: Lsh) -> Column:
+    """A band's signature as one number: its digits in base m, where they fit a long, else a hash."""
+    if lsh.r // lsh.b * 2 * lsh.k > 62:
+        return F.xxhash64(sig).bitwiseAND(F.lit((1 << 62) - 1))
+    return F.aggregate(sig, F.lit(0).cast("long"), lambda a, x: a * lsh.m + x)
+
+
 def bloom_hashes(bits: int, n: int) -> int:
     return max(1, round(bits / n * math.log(2)))
 
@@ -86,17 +102,27 @@ def bloom_fpp(hashes: int, bits: int, n: int) -> float:
 
 @dataclass(frozen=True)
 class Bloom:
-    """|a x + b| mod bits, for seeded a and b, over longs up to 2**31."""
+    """(a * low + c * high + b) mod bits over longs from 0 on, low being a value's last 31 bits; seeded a, b and c."""
 
     bits: int
     hashes: int
     seed: int = 7
 
     def positions(self, x) -> Column:
+        v = q._col(x).cast("long")
+        low, high = v.bitwiseAND(F.lit((1 << 31) - 1)), F.shiftright(v, 31)
+        return F.array(*[F.pmod(low * a + high * c + b, F.lit(self.bits)) for a, b, c in self.functions])
+
+    @property
+    def functions(self) -> list[tuple[int, int, int]]:
         rnd = random.Random(self.seed)
-        ab = [(rnd.randrange(1, 1 << 31), rnd.randrange(1 << 31)) for _ in range(self.hashes)]
-        v = F.pmod(q._col(x), F.lit(1 << 31))
-        return F.array(*[F.pmod(v * a + b, F.lit(self.bits)) for a, b in ab])
+        return [(rnd.randrange(1, 1 << 31), rnd.randrange(1 << 31), rnd.randrange(1 << 28)) for _ in range(self.hashes)]
+
+    @classmethod
+    def sized(cls, n: int, fpp: float, seed: int = 7) -> Bloom:
+        """For n values and a share of false positives."""
+        bits = bloom_bits(fpp, max(1, n))
+        return cls(bits, bloom_hashes(bits, max(1, n)), seed)
 
     def build(self, df: DataFrame, x: str) -> DataFrame:
         """The filter as (bit), each set bit once."""

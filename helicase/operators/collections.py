@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from helicase.tables import checkpoint
+
 KEY = "collection_id"
 
 
@@ -61,11 +63,24 @@ def chained(rows: DataFrame, node: str) -> DataFrame:
 
 
 def walk(nodes: DataFrame) -> DataFrame:
-    """(collection_id, pos, value) by following the chain from its head."""
-    nodes.createOrReplaceTempView("__helicase_chain")
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE walk AS (
-              SELECT {KEY}, node, next, 0 AS pos, value FROM __helicase_chain WHERE head
-              UNION ALL SELECT c.{KEY}, c.node, c.next, w.pos + 1, c.value FROM walk w JOIN __helicase_chain c ON w.{KEY} = c.{KEY} AND w.next = c.node)
-            SELECT {KEY}, pos, value FROM walk"""
-    )
+    """(collection_id, pos, value) by following the chain from its head, at any length: pointers double each round, and
+    what is reached so far reaches as many nodes again. Chains that lead back into themselves are an error."""
+    jumps = checkpoint(nodes.select(KEY, "node", "next"))
+    reached = checkpoint(nodes.where("head").select(KEY, "node", F.lit(0).alias("pos")))
+    count, step = reached.count(), 1
+    while True:
+        more = reached.join(jumps, [KEY, "node"]).where("next IS NOT NULL").select(KEY, F.col("next").alias("node"), (F.col("pos") + step).alias("pos"))
+        reached = checkpoint(reached.unionByName(more))
+        now = reached.count()
+        if now == count:
+            return reached.join(nodes.select(KEY, "node", "value"), [KEY, "node"]).select(KEY, "pos", "value")
+        if not reached.groupBy(KEY, "node").count().where("count > 1").isEmpty():
+            raise ValueError("a chain leads back into itself")
+        far = jumps.select(KEY, F.col("node").alias("next"), F.col("next").alias("far"))
+        jumps = checkpoint(jumps.join(far, [KEY, "next"]).select(KEY, "node", F.col("far").alias("next")))
+        count, step = now, 2 * step
+
+
+def absent(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """Keys (collection_id) without a collection."""
+    return keys.select(KEY).join(rows.select(KEY), KEY, "left_anti")

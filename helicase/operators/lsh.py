@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helicase.functions import distance, minhash
@@ -43,11 +43,25 @@ def query_exact(index: DataFrame, strands: DataFrame, probes: DataFrame, lsh: mi
     return probes.select(F.col("id").alias("probe")).join(same.select("probe", F.lit(True).alias("found")).distinct(), "probe", "left").select("probe", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def least_distance(index: DataFrame, strands: DataFrame, probes: DataFrame, lsh: minhash.Lsh, exclusive: bool = True) -> DataFrame:
-    """(probe, distance): the least k-mer distance to a candidate, 1 without any; exclusive: not to the strand of its own id."""
+def least_distance(index: DataFrame, strands: DataFrame, probes: DataFrame, lsh: minhash.Lsh, exclusive: bool = True, keep: Column | None = None) -> DataFrame:
+    """(probe, distance): the least k-mer distance to a candidate, 1 without any; exclusive: not to the strand of its own
+    id; keep: only to candidates for which this condition on probe and key holds."""
     found = candidates(index, minhash.index(probes, "id", "seq", lsh))
     found = found.where("probe <> key") if exclusive else found
+    found = found.where(keep) if keep is not None else found
     k = lsh.k
     near = found.join(strands.select(F.col("id").alias("key"), q.kmer_codes("seq", k).alias("ck")), "key").join(probes.select(F.col("id").alias("probe"), q.kmer_codes("seq", k).alias("cp")), "probe")
     best = near.groupBy("probe").agg(F.min(distance.jaccard_of(F.col("ck"), F.col("cp"))).alias("distance"))
     return probes.select(F.col("id").alias("probe")).join(best, "probe", "left").select("probe", F.coalesce("distance", F.lit(1.0)).alias("distance"))
+
+
+def bloom_store(index: DataFrame, lsh: minhash.Lsh, bloom: minhash.Bloom) -> DataFrame:
+    """(band, bit): a Bloom filter for each band, of the buckets that have entries. Nothing can be removed from it."""
+    return index.select("band", F.explode(bloom.positions(minhash.band_key(F.col("sig"), lsh))).alias("bit")).distinct()
+
+
+def bloom_query(store: DataFrame, probes: DataFrame, lsh: minhash.Lsh, bloom: minhash.Bloom, every: bool = False) -> DataFrame:
+    """(probe, found): whether any band, or every band, of a probe may have its bucket in the filters."""
+    asked = probes.select(F.col("key").alias("probe"), "band", F.explode(bloom.positions(minhash.band_key(F.col("sig"), lsh))).alias("bit"))
+    hit = asked.join(store.withColumn("set", F.lit(1)), ["band", "bit"], "left").groupBy("probe", "band").agg((F.count("set") == F.count("*")).alias("hit"))
+    return hit.groupBy("probe").agg((F.bool_and("hit") if every else F.bool_or("hit")).alias("found"))

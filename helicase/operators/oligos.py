@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from helicase.functions import codecs, kernel
 from helicase.functions import seq as q
+from helicase.tables import checkpoint
 
 HEADER = 43
 
@@ -85,6 +86,11 @@ def put(values: DataFrame, layout: Layout = Layout()) -> Store:
     )
 
 
+def written(store: Store) -> Store:
+    """The store with its tables written: they are made once, however often they are read."""
+    return Store(*[checkpoint(getattr(store, x)) for x in ("objects", "oligos", "routing", "translation")], store.layout)
+
+
 def addressed(store: Store, ids: DataFrame) -> DataFrame:
     """(id, seg, address, payload) of the objects' oligos: the first by its id, continuations by the header's range of ids."""
     keyed = store.routing.join(store.oligos, "routed")

@@ -17,11 +17,12 @@ query(
 )(lambda s, d: table(s, d, "orders").select("o_orderkey", bits.pack_minimal(F.col("o_orderkey") * F.col("o_custkey")).alias("b")))
 _TEXT = "array_to_string([lpad(bin(('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::INTEGER), 8, '0') for i in range(0, strlen({0}))], '')"
 query(f"SELECT c_custkey, '110' || lpad(bin(strlen(c_name)), 8, '0') || {_TEXT.format('c_name')} AS b FROM customer", "bits_pack_text")(lambda s, d: table(s, d, "customer").select("c_custkey", bits.pack_text("c_name").alias("b")))
-query("SELECT o_orderkey, [o_orderkey::VARCHAR, o_orderpriority] AS v FROM orders", "bits_unpack")(
-    lambda s, d: table(s, d, "orders").select("o_orderkey", bits.unpack_all(F.concat(bits.pack_minimal("o_orderkey"), bits.pack_text("o_orderpriority"))).alias("v"))
-)
-query("SELECT s_suppkey, s_acctbal AS back FROM supplier", "bits_pack_real")(
-    lambda s, d: table(s, d, "supplier").select("s_suppkey", F.get(bits.unpack_all(bits.pack_real("s_acctbal")), F.lit(0)).cast("double").alias("back"))
+_MINIMAL = f"CASE WHEN {{0}} < 128 THEN '000' || lpad(bin({{0}}), 8, '0') WHEN {{0}} < 32768 THEN '001' || lpad(bin({{0}}), 16, '0') WHEN {{0}} < 2147483648 THEN '010' || lpad(bin({{0}}), 32, '0') ELSE {_LONG} END"
+query(
+    f"SELECT o_orderkey, {_MINIMAL.format('o_orderkey')} || '110' || lpad(bin(strlen(o_orderpriority)), 8, '0') || {_TEXT.format('o_orderpriority')} AS b, [o_orderkey::VARCHAR, o_orderpriority] AS v FROM orders", "bits_unpack"
+)(lambda s, d: table(s, d, "orders").select("o_orderkey", F.concat(bits.pack_minimal("o_orderkey"), bits.pack_text("o_orderpriority")).alias("b")).select("o_orderkey", "b", bits.unpack_all("b").alias("v")))
+query("SELECT s_suppkey, '101' AS tag, 67 AS bits, s_acctbal AS back FROM supplier", "bits_pack_real")(
+    lambda s, d: table(s, d, "supplier").select("s_suppkey", "s_acctbal", bits.pack_real("s_acctbal").alias("b")).select("s_suppkey", F.substring("b", 1, 3).alias("tag"), F.length("b").alias("bits"), F.get(bits.unpack_all("b"), F.lit(0)).cast("double").alias("back"))
 )
 query("SELECT o_orderkey, lpad(bin(8 - length(b) % 8), 8, '0') || b || repeat('0', (8 - length(b) % 8)::BIGINT) AS padded, b AS back FROM (SELECT o_orderkey, bin(o_orderkey) AS b FROM orders)", "bits_padding")(
     lambda s, d: table(s, d, "orders").select("o_orderkey", bits.padded(F.bin("o_orderkey")).alias("padded"), bits.unpadded(bits.padded(F.bin("o_orderkey"))).alias("back"))
@@ -36,16 +37,16 @@ query(None, "util_draws")(
 )
 
 
-@query(f"WITH {sql_strands('cust')} SELECT id, seq AS back FROM s", "payload_choose")
+@query(f"WITH {sql_strands('cust')} SELECT id, length(seq) + 3 AS bases, seq AS back FROM s", "payload_choose")
 def payload_choose(spark, sf_dir):
     """Customers' payloads chosen against the parts' strands, and undone again."""
     lsh = minhash.Lsh(k=4, r=4, b=2)
     stored = strands(spark, sf_dir, "part")
     new = strands(spark, sf_dir, "cust").select("id", codecs.barcode("id", 60, 2).alias("address"), "seq")
     chosen = payloads.choose(new, minhash.index(stored, "id", "seq", lsh), stored.groupBy("seq").agg(F.min("id").alias("id")), lsh, count=4)
-    return chosen.select("id", codecs.undo_permutation("payload").alias("back"))
+    return chosen.select("id", F.length("payload").alias("bases"), codecs.undo_permutation("payload").alias("back"))
 
 
-query(f"WITH {sql_strands('cust')} SELECT id, length(seq) AS n FROM s", "seq_window_join")(
-    lambda s, d: strands(s, d, "cust").select("id", F.length(q.join(q.window("seq", 0, 10), q.sub_sequence("seq", 10, 10_000))).alias("n"))
+query(f"WITH {sql_strands('doc')} SELECT id, substr(seq, 11) || substr(seq, 1, 10) AS seq FROM s", "seq_window_join")(
+    lambda s, d: strands(s, d, "doc").select("id", q.join(q.sub_sequence("seq", 10, F.length("seq")), q.window("seq", 0, 10)).alias("seq"))
 )

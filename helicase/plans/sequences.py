@@ -49,7 +49,7 @@ _one("seq_count_matches", "doc", lambda s: q.count_matches(s, "AT"), "len(regexp
 _one("seq_count_consecutive", "doc", lambda s: q.count_consecutive(s, "AT"), "coalesce(list_max([length(x) for x in regexp_extract_all(substr(seq, 1, length(seq) - 1), '(?:AT)+')]), 0) // 2", where="length(seq) > 0")
 _one("seq_run_starts", "cust", lambda s: q.long_run_starts(s, 2), f"[x[1] for x in list_zip([list_sum([length(y) for y in {RUNS_SQL}[1:i]])::INTEGER for i in range(0, len({RUNS_SQL}))], [length(z) for z in {RUNS_SQL}]) if x[2] > 2]")
 _one("seq_run_total", "doc", lambda s: F.size(q.runs(s)), f"len({RUNS_SQL})")
-_one("kmer_base4", "cust", lambda s: q.base4(F.substring(s, 1, 12)), "list_sum([(instr('ACGT', substr(seq, i + 1, 1)) - 1) * (4 ** i)::BIGINT for i in range(0, 12)])::BIGINT")
+_one("kmer_base4", "cust", lambda s: q.kmer_codes(s, 12), "[list_sum([(instr('ACGT', substr(seq, i + j, 1)) - 1) * (4 ** j)::BIGINT for j in range(0, 12)])::BIGINT for i in range(1, length(seq) - 10)]")
 _one("kmer_list", "cust", lambda s: q.kmers(s, 5), "[substr(seq, i, 5) for i in range(1, length(seq) - 3)]")
 _one("seq_seed", "cust", q.seed, " * ".join(f"greatest(1, length(seq) - length(replace(seq, '{b}', '')))" for b in "ACGT"))
 _one("rule_gc", "doc", rules.gc_error, f"CASE WHEN 5 * {GC_SQL} = 3 * length(seq) THEN 0.4 WHEN 10 * abs(2 * {GC_SQL} - length(seq)) <= 2 * length(seq) THEN 0.0 WHEN 20 * abs(2 * {GC_SQL} - length(seq)) <= 6 * length(seq) THEN 0.4 WHEN 10 * abs(2 * {GC_SQL} - length(seq)) <= 4 * length(seq) THEN 0.8 ELSE 1.0 END::DOUBLE", where="length(seq) > 0")

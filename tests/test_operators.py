@@ -139,3 +139,101 @@ def test_online_ingest(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out/strands")).select("id", q.decode_2bit("seq").alias("v"))
     assert {tuple(r) for r in back.select("id", "v").collect()} == {(1, "hello world"), (2, "hello"), (3, "more")}
     assert spark.read.parquet(str(tmp_path / "out/index")).count() > 0
+
+
+def test_a_file_row_that_equals_the_header_stays(spark, tmp_path):
+    for i, rows in enumerate((["a,b", "1,2", "a,b", "3,"], ["a,b", "5,6"])):
+        (tmp_path / f"f{i}.csv").write_text("\n".join(rows) + "\n")
+    got = delimited.read(spark, str(tmp_path))
+    assert sorted(r["line"] for r in got.collect()) == ["1,2", "3,", "5,6", "a,b"]
+    assert got.columns == ["line", "a", "b"]
+    with pytest.raises(KeyError):
+        delimited.project(got, ["c"])
+    with pytest.raises(ValueError, match="repeat"):
+        delimited.header("a,b,a")
+
+
+def test_written_lines_are_read_back(spark, tmp_path):
+    rows = [("k", 'say "x" \\ y', " b "), ("", "'", None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    delimited.write(df, str(tmp_path / "out"), ";")
+    got = delimited.read(spark, str(tmp_path / "out"), ";").select("a", "b", "c")
+    assert sorted(tuple(x or "" for x in r) for r in got.collect()) == sorted(tuple(x or "" for x in r) for r in rows)
+    with pytest.raises(Exception, match="delimiter"):
+        delimited.write(df, str(tmp_path / "bad"), "'")
+
+
+def test_chains_of_any_length(spark):
+    n = 300
+    chain = spark.createDataFrame([(1, i, i + 1 if i < n - 1 else None, i == 0, f"v{i}") for i in range(n)] + [(2, 7, None, True, "only")], "collection_id long, node long, next long, head boolean, value string")
+    got = sorted((r["collection_id"], r["pos"], r["value"]) for r in collections.walk(chain).collect())
+    assert got == [(1, i, f"v{i}") for i in range(n)] + [(2, 0, "only")]
+    ring = spark.createDataFrame([(1, 0, 1, True, "a"), (1, 1, 0, False, "b")], chain.schema)
+    with pytest.raises(ValueError, match="itself"):
+        collections.walk(ring)
+
+
+def test_records_of_all_kinds(spark):
+    fused = records.INT.fuse(records.DOUBLE)
+    df = spark.createDataFrame([(1, 2.5), (-7, -0.0), (None, 1.0)], "a int, b double").select(F.struct("a", "b").alias("v"))
+    got = df.select(fused.encode()(F.col("v")).alias("r")).select("r", fused.decode()(F.col("r")).alias("v")).collect()
+    assert [r["r"] and bytes(r["r"]) for r in got] == [struct.pack(">id", 1, 2.5), struct.pack(">id", -7, -0.0), None]
+    assert [(r["v"]["a"], r["v"]["b"]) for r in got[:2]] == [(1, 2.5), (-7, -0.0)]
+    store = records.RecordStore.open(spark, records.LONG).put(spark.createDataFrame([(0, 10), (1, 20)], "key long, value long"))
+    assert {tuple(r) for r in store.put(spark.createDataFrame([(1, 5), (2, 6)], "key long, value long")).get(spark.range(4).withColumnRenamed("id", "key")).collect()} == {(0, 10), (1, 5), (2, 6), (3, None)}
+    with pytest.raises(IndexError):
+        store.put(spark.createDataFrame([(9, 1)], "key long, value long"))
+    with pytest.raises(NotImplementedError):
+        store.remove(spark.range(1))
+
+
+def test_barcodes_are_far_from_each_other(spark):
+    """All pairs of the accepted ones, with complements; and why each rejected one was."""
+    lsh = addressing.NEAR
+    judged = addressing.candidates(spark, 150).collect()
+    kmers = lambda s: {s[i : i + lsh.k] for i in range(len(s) - lsh.k + 1)}
+    turned = str.maketrans("ACGT", "TGCA")
+    far = lambda x, y: 1 - len(kmers(x) & kmers(y)) / len(kmers(x) | kmers(y))
+    good = [r["seq"] for r in sorted(judged) if r["accepted"]]
+    near = sum(min(far(x, y), far(x, y.translate(turned))) < 0.3 for i, x in enumerate(good) for y in good[:i])
+    assert near == 0
+    for r in judged:
+        if not r["accepted"]:
+            assert any(min(far(r["seq"], o["seq"]), far(r["seq"], o["seq"].translate(turned))) < 0.3 for o in judged if o["accepted"] and o["id"] < r["id"])
+    made = addressing.assign_barcodes(spark, 100)
+    assert made.count() == 100
+    assert made.where(F.length("barcode") != 80).count() == 0
+    assert addressing.bad_count(addressing.candidates(spark, 150)).first()["size"] == len(good)
+
+
+def test_repeated_entries_are_put_once(spark):
+    t = container.Table(spark.createDataFrame([(1, "a")], "key long, value string")).put(spark.createDataFrame([(2, "x"), (2, "y")], "key long, value string"))
+    assert {tuple(r) for r in t.rows.collect()} == {(1, "a"), (2, "y")}
+
+
+def test_dense_ids_over_many_partitions(spark):
+    got = container.with_dense_ids(spark.range(1000).select((F.col("id") * 7 % 1000).alias("v")).repartition(13), ["v"], 5).collect()
+    assert sorted((r["v"], r["id"]) for r in got) == [(i, i + 5) for i in range(1000)]
+    assert container.with_dense_ids(spark.range(0), ["id"], name="n").count() == 0
+
+
+def test_byte_frequencies_and_their_code():
+    from helicase.functions import kernel
+
+    freq = kernel.frequencies(["97=5", "98=2", "-61=1", ""])
+    assert (freq[97], freq[98], freq[195], sum(freq)) == (5, 2, 1, 8)
+    for bad in ("x", "300=1", "97=-1"):
+        with pytest.raises(ValueError, match="."):
+            kernel.frequencies([bad])
+    codes = kernel.huffman(2, freq)
+    assert len(codes[97]) < len(codes[98]) <= len(codes[195])
+    assert kernel.huffman_decode(kernel.huffman_encode(b"abba\xc3", 2, freq), 2, freq) == b"abba\xc3"
+
+
+def test_packets_are_all_screened():
+    from helicase.functions import kernel
+
+    data = bytes(range(256)) * 9 + b"\0" * 700
+    strand = kernel.fountain_encode(data)
+    assert kernel.fountain_decode(strand) == data
+    assert kernel.longest_run(strand) <= 12
