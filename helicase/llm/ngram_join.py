@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from helicase.llm import _common as c
 from helicase.llm import _windows as win
@@ -235,13 +236,16 @@ def _link_counts(nodes: DataFrame, cuts: DataFrame, percent: int, parts: int) ->
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
-    """(id, n_shingles, component_id, class_key) for every row of df; with links also n_links: the other sets that its set links with."""
-    spark = df.sparkSession
-    docs = c.ship(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    """(id, n_shingles, component_id, class_key) for every row of df; with links also n_links: the other sets that its set links with.
+    Ids are longs, or structs of longs."""
+    name = F.col(f"`{id_col}`")
+    name = name if isinstance(df.select(name).schema[0].dataType, StructType) else name.cast("long")
+    docs = c.ship(df).select(name.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
     fragments = win.at_least(-(-c.scan_bytes(df) // FRAGMENT_BYTES))
     parts = c.fan_out(df)
 
-    described = c.checkpoint(docs.mapInArrow(_describe(k), "id long, n long, key long"))
+    described = c.checkpoint(docs.mapInArrow(_describe(k), f"id {kind}, n long, key long"))
     classes = described.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     packed = docs.select("text").mapInArrow(_to_fragments(k, fragments, 4, 0), win.PACKED)
     shards = win.at_least(-(-c.scan_bytes(df) // FRAGMENT_BYTES))
@@ -342,9 +346,13 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """df without the documents whose component has a smaller id; of rows with that id all stay, and all rows without an id or without words."""
-    found = jaccard_classes(df, id_col, text_col, k, percent).where(F.col("component_id") < F.col("id")).select(F.col("id").alias(id_col)).distinct()
-    return df.join(found, id_col, "left_anti")
+    """One row of df for each component: that of the smallest id, ids that are missing last; of several rows with it, one.
+    Rows without words are linked with nothing and stay. A column ``__row`` is replaced."""
+    rows = c.checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))  # written, so that numbers stay as they are
+    last = F.lit((1 << 63) - 1)
+    named = rows.select(F.struct(F.coalesce(F.col(f"`{id_col}`").cast("long"), last).alias("id"), F.col("__row").alias("row")).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    gone = jaccard_classes(named, "id", "text", k, percent).where("component_id <> id").select(F.col("id.row").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").drop("__row")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
