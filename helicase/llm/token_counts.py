@@ -223,6 +223,7 @@ class Counter:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         symbols = byte_symbols()
         raw = lambda s: bytes(symbols[x] for x in s)
         self.special = [x["content"] for x in spec["added_tokens"]]
@@ -262,6 +263,20 @@ class Counter:
         return extra + np.bincount(owner, n, len(texts)).astype(np.int64)
 
 
+def check(spec: dict) -> None:
+    """An error where a tokenizer's file asks for what isn't compiled here: anything but byte-level pairs after the usual
+    pre-tokenizer, with added tokens that match as they are."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wanted = [
+        ("normalizer", spec.get("normalizer"), None), ("pre_tokenizer", before.get("type"), "ByteLevel"), ("add_prefix_space", before.get("add_prefix_space", False), False),
+        ("use_regex", before.get("use_regex", True), True), ("model", model.get("type", "BPE"), "BPE"), ("dropout", model.get("dropout"), None), ("ignore_merges", model.get("ignore_merges") or False, False),
+        ("continuing_subword_prefix", model.get("continuing_subword_prefix") or None, None), ("end_of_word_suffix", model.get("end_of_word_suffix") or None, None),
+        *[(f"added token's {flag}", bool(t.get(flag)), False) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")],
+    ]
+    if bad := [f"{name}: {has!r}" for name, has, want in wanted if has != want]:
+        raise ValueError(f"no transducer for a tokenizer with {', '.join(bad)}")
+
+
 _COUNTERS: dict[str, Counter] = {}
 
 

@@ -4,9 +4,14 @@ A revisit record (a server's 304) has no body. It is resolved by an as-of join:
 canonical URL before it. The revisit's validators (ETag, else Last-Modified) must not contradict the response's; then
 the response's headers are merged with those that a 304 may update.
 
-The as-of join has two levels, so that a URL with a third of all captures is no single task: a URL's captures are cut
-into slices of time; within a slice a window finds the last response, and a window over one row per slice hands the
-last response of earlier slices on.
+The as-of join has two levels, so that a URL with a third of all captures is no single task. Captures of a URL at one
+time are reduced to one row, the response that counts, before they are exchanged. A URL's times are cut into slices;
+within a slice a window over its times finds the last response, and a window over one row per slice hands the last
+response of earlier slices on. With dates in whole seconds, as in WARC, a slice of an hour has 3,600 rows at most.
+
+Reading goes on where a file is damaged: a line that begins no record is passed over, a block's length that is no number
+counts as none, and a file that breaks off ends with its last whole record. Headers that repeat are joined by a comma.
+A file is read by one task, compressed as it is, up to 2 GB; larger ones have to be cut at record boundaries before.
 
 Defined cases: a null URL is canonical to null and matches nothing; a null time is never resolved and resolves
 nothing; of responses at one time the one with the largest record id counts, and a response at the revisit's own time
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,16 +52,33 @@ def canonical_url(url: Column) -> Column:
 
 def _records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(WARC headers in lower case, block) of every record."""
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record: {line[:40]!r}")
-        head: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            k, _, v = line.decode("utf-8", "replace").partition(":")
-            head[k.strip().lower()] = v.strip()
-        yield head, stream.read(int(head.get("content-length", 0)))
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            head: dict[str, str] = {}
+            while (line := stream.readline()).strip():
+                k, _, v = line.decode("utf-8", "replace").partition(":")
+                head[k.strip().lower()] = v.strip()
+            size = head.get("content-length", "0")
+            size = int(size) if size.isascii() and size.isdigit() else 0
+            block = stream.read(size)
+            if len(block) < size:
+                return
+            yield head, block
+    except (EOFError, OSError, zlib.error):  # the compressed file breaks off
+        return
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields in lower case; values of repeated ones in order, joined by a comma."""
+    out: dict[str, str] = {}
+    for line in lines:
+        k, colon, v = line.partition(":")
+        if colon:
+            k = k.strip().lower()
+            out[k] = f"{out[k]}, {v.strip()}" if k in out else v.strip()
+    return out
 
 
 def parse_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
@@ -64,8 +87,7 @@ def parse_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     first, *lines = head.decode("iso-8859-1").split("\r\n")
     words = first.split(" ")
     status = int(words[1]) if first.startswith("HTTP/") and len(words) > 1 and words[1].isdigit() else None
-    fields = [x.partition(":") for x in lines if ":" in x]
-    return status, {k.strip().lower(): v.strip() for k, _, v in fields}, body
+    return status, _fields(lines), body
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -122,18 +144,18 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     ).where("full OR revisit")
     loose = r.where("revisit AND (canonical_url IS NULL OR ts IS NULL)")
     r = r.where("canonical_url IS NOT NULL AND ts IS NOT NULL").withColumn("slice", F.floor(F.unix_timestamp("ts") / slice_seconds))
+    r = r.withColumn("t", F.unix_micros("ts"))
     response = F.when(F.col("full"), F.struct("ts", "record_id", "status", "headers"))
-    micros = r.withColumn("resp", response)
-    in_slice = W.partitionBy("canonical_url", "slice").orderBy(F.unix_micros("ts")).rangeBetween(W.unboundedPreceding, -1)
-    key = F.when(F.col("full"), F.struct(F.unix_micros("ts").alias("t"), F.col("record_id").alias("id")))
-    near = micros.withColumn("near", F.max_by("resp", key).over(in_slice))
-    last = micros.where("full").groupBy("canonical_url", "slice").agg(F.max_by("resp", key).alias("last"))
-    slices = r.where("revisit").select("canonical_url", F.col("slice")).distinct().unionByName(last.select("canonical_url", "slice")).distinct()
-    carried = slices.join(last, ["canonical_url", "slice"], "left").withColumn(
-        "carried", F.last("last", ignorenulls=True).over(W.partitionBy("canonical_url").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+    # a row for each time of a URL; of responses at one time that of the largest record id
+    times = r.groupBy("canonical_url", "slice", "t").agg(F.max_by(response, F.when(F.col("full"), F.col("record_id"))).alias("resp"))
+    in_slice = W.partitionBy("canonical_url", "slice").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
+    times = times.withColumn("near", F.last("resp", ignorenulls=True).over(in_slice))
+    slices = times.groupBy("canonical_url", "slice").agg(F.max_by("resp", F.when(F.col("resp").isNotNull(), F.col("t"))).alias("last"))
+    carried = slices.select(
+        "canonical_url", "slice", F.last("last", ignorenulls=True).over(W.partitionBy("canonical_url").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)).alias("carried")
     )
-    found = near.where("revisit").join(carried.select("canonical_url", "slice", "carried"), ["canonical_url", "slice"], "left")
-    found = found.withColumn("base", F.coalesce("near", "carried")).drop("near", "carried", "resp", "slice")
+    based = times.join(carried, ["canonical_url", "slice"]).select("canonical_url", "t", F.coalesce("near", "carried").alias("base"))
+    found = r.where("revisit").join(based, ["canonical_url", "t"], "left").drop("t", "slice")
     found = found.unionByName(loose.withColumn("base", F.lit(None).cast(found.schema["base"].dataType)))
     get = lambda m, k: F.try_element_at(m, F.lit(k))
     weak = lambda x: F.regexp_replace(x, "^W/", "")
