@@ -62,25 +62,34 @@ def chained(rows: DataFrame, node: str) -> DataFrame:
     return rows.select(KEY, F.col(node).alias("node"), F.lead(node).over(w).alias("next"), (F.col("pos") == 0).alias("head"), "value")
 
 
-def walk(nodes: DataFrame) -> DataFrame:
-    """(collection_id, pos, value) by following the chain from its head, at any length: pointers double each round, and
-    what is reached so far reaches as many nodes again. Chains that lead back into themselves are an error."""
-    jumps = checkpoint(nodes.select(KEY, "node", "next"))
-    reached = checkpoint(nodes.where("head").select(KEY, "node", F.lit(0).alias("pos")))
+def follow(heads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(collection_id, node, pos) of the nodes (node, next) that chains reach from their heads (collection_id, node), at
+    any length: pointers double each round, and what is reached so far reaches as many nodes again. Pointers to nodes
+    that aren't there end a chain; chains that lead back into themselves are an error."""
+    there = nodes.select(F.col("node").alias("next"))
+    jumps = checkpoint(nodes.select("node", "next").join(there, "next", "left_semi"))
+    reached = checkpoint(heads.select(KEY, "node").join(nodes.select("node"), "node", "left_semi").select(KEY, "node", F.lit(0).alias("pos")))
     count, step = reached.count(), 1
     while True:
-        more = reached.join(jumps, [KEY, "node"]).where("next IS NOT NULL").select(KEY, F.col("next").alias("node"), (F.col("pos") + step).alias("pos"))
+        more = reached.join(jumps, "node").select(KEY, F.col("next").alias("node"), (F.col("pos") + step).alias("pos"))
         reached = checkpoint(reached.unionByName(more))
         now = reached.count()
         if now == count:
-            return reached.join(nodes.select(KEY, "node", "value"), [KEY, "node"]).select(KEY, "pos", "value")
+            return reached
         if not reached.groupBy(KEY, "node").count().where("count > 1").isEmpty():
             raise ValueError("a chain leads back into itself")
-        far = jumps.select(KEY, F.col("node").alias("next"), F.col("next").alias("far"))
-        jumps = checkpoint(jumps.join(far, [KEY, "next"]).select(KEY, "node", F.col("far").alias("next")))
+        far = jumps.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        jumps = checkpoint(jumps.join(far, "next").select("node", F.col("far").alias("next")))
         count, step = now, 2 * step
 
 
+def walk(nodes: DataFrame) -> DataFrame:
+    """(collection_id, pos, value) by following the chain from its head; see ``follow``."""
+    own = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.col(KEY).alias("c"), F.col(x).alias("n")))
+    named = nodes.select(KEY, own("node").alias("node"), own("next").alias("next"), "head", "value")
+    return follow(named.where("head"), named).join(named.select("node", "value"), "node").select(KEY, "pos", "value")
+
+
 def absent(keys: DataFrame, rows: DataFrame) -> DataFrame:
     """Keys (collection_id) without a collection."""
     return keys.select(KEY).join(rows.select(KEY), KEY, "left_anti")

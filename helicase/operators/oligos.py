@@ -58,8 +58,8 @@ class Store:
     layout: Layout
 
 
-def put(values: DataFrame, layout: Layout = Layout()) -> Store:
-    """A store of values (id, seq) with dense ids 0, 1, ...; continuations get the ids after them, in order.
+def put(values: DataFrame, layout: Layout = Layout(), start: int = 0) -> Store:
+    """A store of values (id, seq) with dense ids start, start + 1, ...; continuations get the ids after them, in order.
 
     Where a value's continuations begin is the sum of those before it: summed by range of ids and then within a range,
     so that no task sees all values.
@@ -71,7 +71,7 @@ def put(values: DataFrame, layout: Layout = Layout()) -> Store:
     total = W.partitionBy()
     sums = sums.select("range", F.coalesce(F.sum("more").over(before), F.lit(0)).alias("skip"), F.sum("k").over(total).alias("values"))
     inside = W.partitionBy("range").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
-    v = v.join(sums, "range").withColumn("next", F.col("values") + F.col("skip") + F.coalesce(F.sum(F.col("n") - 1).over(inside), F.lit(0)))
+    v = v.join(sums, "range").withColumn("next", F.lit(start) + F.col("values") + F.col("skip") + F.coalesce(F.sum(F.col("n") - 1).over(inside), F.lit(0)))
     next_id = F.when(F.col("n") > 1, F.col("next")).otherwise(F.lit(-1))
     v = v.withColumn("sized", F.concat(codecs.pack(next_id, "INT_64"), codecs.pack(F.col("n") - 1, "SHORT"), F.col("seq")))
     parts = v.select("id", "n", F.length("seq").alias("length"), "next", F.posexplode(codecs.segments("sized", layout.segment, layout.gc_fix)).alias("seg", "part"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helicase.functions import bits, codecs, distance, kernel, minhash, util
 from helicase.functions import seq as q
-from helicase.operators import addressing, collections, container, lsh, oligos
+from helicase.operators import addressing, collections, container, lsh, oligos, stored
 from helicase.plans import sequences
 from helicase.plans.base import query, sql_encode, sql_strands, strands, table
 from helicase.shipping import spread
@@ -378,3 +378,35 @@ _named("util_bytes", lambda s, d: table(s, d, "nation").select("n_nationkey", F.
 _named("util_clock_seed", lambda s, d: table(s, d, "events").select("event_id", util.clock_seed(F.col("ts").cast("timestamp")).alias("seed")), "SELECT event_id, epoch_us(ts) // 1000 AS seed FROM events")
 _named("util_two_way", lambda s, d: (lambda m: m.put(table(s, d, "region").select((F.col("r_regionkey") + 100).alias("left"), F.col("r_name").alias("right"))).back(table(s, d, "nation").select(F.col("n_name").alias("right")).unionByName(table(s, d, "region").select(F.col("r_name").alias("right")))))(util.TwoWay(table(s, d, "nation").select(F.col("n_nationkey").alias("left"), F.col("n_name").alias("right")))), "SELECT n_name AS right, n_nationkey AS left FROM nation UNION ALL SELECT r_name, r_regionkey + 100 FROM region")
 _named("util_spread", lambda s, d: util.spread_over(table(s, d, "nation"), True, 3).select(F.spark_partition_id().alias("p")).distinct().agg((F.count("*") <= 3).alias("few")), "SELECT true AS few")
+
+
+# --- arrays and lists inside the store: nations by region, and a region without any
+def _nation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = collections.put_array(table(spark, sf_dir, "nation").where("n_regionkey <> 4").select(F.col("n_regionkey").cast("long").alias("r"), "n_nationkey", "n_name"), "r", ["n_nationkey"], "n_name")
+    return rows.select("collection_id", "pos", "value")
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("collection_id"))
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> stored.Collections:
+    return stored.put_lists(_nation_rows(spark, sf_dir), _regions(spark, sf_dir), LAYOUT)
+
+
+def _arrays(spark: SparkSession, sf_dir: str) -> stored.Collections:
+    return stored.put_arrays(_nation_rows(spark, sf_dir), _regions(spark, sf_dir), LAYOUT)
+
+
+def _region_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("collection_id"), F.lit(0).alias("ord"), F.col("r_name").alias("value"))
+
+
+_NATIONS = "n AS (SELECT n_regionkey::BIGINT AS collection_id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS pos, n_name AS value FROM nation WHERE n_regionkey <> 4), c AS (SELECT r_regionkey::BIGINT AS collection_id, r_name, (SELECT count(*) FROM n WHERE n.collection_id = r_regionkey)::INTEGER AS len FROM region)"
+_SEGMENTS = f"greatest(1, ceil(({{0}} + 43) / {_ROOM}))"
+_named("store_array", lambda s, d: stored.get_arrays(_arrays(s, d), _regions(s, d)), f"WITH {_NATIONS} SELECT * FROM n")
+_named("store_array_oligos", lambda s, d: stored.array_oligos(_arrays(s, d), _regions(s, d)).groupBy("collection_id").agg(F.count("*").alias("oligos")), f"WITH {_NATIONS} SELECT c.collection_id, (1 + (SELECT coalesce(sum({_SEGMENTS.format('4 * length(value)')}), 0) FROM n WHERE n.collection_id = c.collection_id))::BIGINT AS oligos FROM c")
+_named("store_list", lambda s, d: stored.get_lists(_lists(s, d), _regions(s, d)), f"WITH {_NATIONS} SELECT * FROM n")
+_named("store_list_oligos", lambda s, d: stored.list_oligos(_lists(s, d), _regions(s, d)).groupBy("collection_id").agg(F.count("*").alias("oligos")), f"WITH {_NATIONS} SELECT c.collection_id, (1 + (SELECT coalesce(sum({_SEGMENTS.format('34 + 4 * length(value)')}), 0) FROM n WHERE n.collection_id = c.collection_id))::BIGINT AS oligos FROM c")
+_named("store_list_append", lambda s, d: stored.get_lists(stored.append(_lists(s, d), _region_names(s, d)), _regions(s, d)), f"WITH {_NATIONS} SELECT * FROM n UNION ALL SELECT collection_id, len, r_name FROM c")
+_named("store_list_insert", lambda s, d: stored.get_lists(stored.insert(_lists(s, d), 1, _region_names(s, d).drop("ord")), _regions(s, d)), f"WITH {_NATIONS} SELECT collection_id, CASE WHEN pos >= 1 THEN pos + 1 ELSE pos END AS pos, value FROM n UNION ALL SELECT collection_id, least(1, len), r_name FROM c")

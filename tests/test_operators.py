@@ -237,3 +237,23 @@ def test_packets_are_all_screened():
     strand = kernel.fountain_encode(data)
     assert kernel.fountain_decode(strand) == data
     assert kernel.longest_run(strand) <= 12
+
+
+def test_lists_in_the_store(spark):
+    """The list of three, appended to, inserted into at its start, in its middle and at its end, all by its oligos; an empty one; an array."""
+    from helicase.operators import stored
+
+    layout = oligos.Layout(address=80, payload=170, permutations=2)
+    rows = spark.createDataFrame([(1, 0, "hello world 1"), (1, 1, "hello world 2"), (1, 2, "hello world 3")], "collection_id long, pos int, value string")
+    keys = spark.createDataFrame([(1,), (2,)], "collection_id long")
+    arrays = stored.put_arrays(rows, keys, layout)
+    assert sorted(tuple(r) for r in stored.get_arrays(arrays, keys).collect()) == [(1, i, f"hello world {i + 1}") for i in range(3)]
+    lists = stored.put_lists(rows, keys, layout)
+    one = lambda k, v: spark.createDataFrame([(k, v)], "collection_id long, value string")
+    lists = stored.append(lists, one(1, "hello world 4").withColumn("ord", F.lit(0)))
+    lists = stored.insert(lists, 0, one(1, "hello new element!"))
+    lists = stored.insert(lists, 2, one(1, "middle"))
+    lists = stored.insert(lists, 99, one(2, "first"))
+    lists = stored.append(lists, spark.createDataFrame([(2, 1, "third"), (2, 0, "second"), (1, 0, "last")], "collection_id long, ord int, value string"))
+    got = {k: [v for _, _, v in sorted(tuple(r) for r in stored.get_lists(lists, keys).collect() if r["collection_id"] == k)] for k in (1, 2)}
+    assert got == {1: ["hello new element!", "hello world 1", "middle", "hello world 2", "hello world 3", "hello world 4", "last"], 2: ["first", "second", "third"]}
