@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helicase.shipping import ship, spread  # noqa: F401
+from helicase.tables import checkpoint  # noqa: F401
 
 #: A word of most contracts: anything but ASCII white space. Same pattern in Java and RE2.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -29,25 +28,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the cluster's shared checkpoint folder.
-
-    The folder is the session's own, or else the one that spark.checkpoint.dir names. Without either, a folder of this
-    machine serves where the executors are threads of the driver; elsewhere it's an error, since they couldn't see it.
-    A written table rather than DataFrame.checkpoint(): that one carries the plan's constraints along, which multiply
-    over rounds, and Parquet takes less disk. The folder is the application's own and can go when it ends.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="helicase-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def scan_bytes(df: DataFrame) -> int:
     """Bytes that a plan reads: Catalyst's estimates of its leaves, which for scans are the bytes of their files. It needs
     no job and works on any store. Leaves without an estimate count 16 MB a partition."""
