@@ -49,6 +49,10 @@ def _segments(n: Column, room: int) -> Column:
     return F.greatest(F.ceil((n + HEADER) / room), F.lit(1)).cast("int")
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 @dataclass(frozen=True)
 class Store:
     objects: DataFrame
@@ -76,6 +80,8 @@ def put(values: DataFrame, layout: Layout = Layout(), start: int = 0) -> Store:
     v = v.withColumn("sized", F.concat(codecs.pack(next_id, "INT_64"), codecs.pack(F.col("n") - 1, "SHORT"), F.col("seq")))
     parts = v.select("id", "n", F.length("seq").alias("length"), "next", F.posexplode(codecs.segments("sized", layout.segment, layout.gc_fix)).alias("seg", "part"))
     parts = parts.withColumn("original", F.when(F.col("seg") == 0, F.col("id")).otherwise(F.col("next") + F.col("seg") - 1))
+    # dealt out by number: segments are small rows with much work each, which adaptive execution would put together
+    parts = parts.repartition(_partitions(parts), "original")
     oligos = parts.select("original", F.col("original").alias("routed"), codecs.barcode("original", layout.address, layout.permutations).alias("address"), codecs.best_permutation("part", layout.permutations).alias("payload"))
     return Store(
         objects=v.select("id", F.col("n").alias("n_segments"), F.length("seq").alias("length")),
@@ -106,7 +112,7 @@ def addressed(store: Store, ids: DataFrame) -> DataFrame:
 
 def assemble(oligos: DataFrame) -> DataFrame:
     """(id, seq) from (id, seg, address, payload)."""
-    parts = oligos.select("id", "seg", codecs.unpad(codecs.undo_permutation("payload"), kernel.SEGMENT_DELIMITER).alias("part"))
+    parts = oligos.repartition(_partitions(oligos), "id").select("id", "seg", codecs.unpad(codecs.undo_permutation("payload"), kernel.SEGMENT_DELIMITER).alias("part"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "part"))), lambda x: x["part"]), "")
     return parts.groupBy("id").agg(whole.alias("sized")).select("id", F.substring("sized", F.lit(HEADER + 1), F.length("sized")).alias("seq"))
 
