@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from helicase.functions import seq as q
+from helicase.functions.minhash import codes_of
 
 
 def hamming(a, b) -> Column:
@@ -42,6 +43,24 @@ def jaccard(a, b, k: int) -> Column:
     return jaccard_of(x, y)
 
 
+def jaccard_of_long(a, b, k: int) -> Column:
+    """The same as ``jaccard``, for strands of thousands of bases."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(s, t):
+            if s is None or t is None:
+                return None
+            u, v = codes_of(s, k), codes_of(t, k)
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            union = len(u) + len(v) - both
+            return 1 - both / union if union else None
+
+        return pd.Series([one(s, t) for s, t in zip(x, y, strict=True)], dtype="Float64")
+
+    return run(q._col(a), q._col(b))
+
+
 def jaccard_of(x: Column, y: Column) -> Column:
     union = F.size(F.array_union(x, y))
     return F.when(union > 0, 1 - F.size(F.array_intersect(x, y)) / union)

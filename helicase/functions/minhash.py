@@ -7,12 +7,19 @@ import random
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helicase.functions import seq as q
 
 
+#: Digits of k-mer ranks by base.
+DIGIT = np.zeros(256, np.int64)
+DIGIT[[ord(b) for b in q.BASES]] = range(4)
+
+
 def next_prime(n: int) -> int:
     """The smallest odd prime from n on."""
     n |= 1
@@ -60,14 +67,41 @@ def signature_of(codes: Column, lsh: Lsh) -> Column:
     return F.when(F.size(codes) > 0, minima)
 
 
+def codes_of(strand: str, k: int) -> np.ndarray:
+    """Ranks of a strand's k-mers, each once, sorted."""
+    digits = DIGIT[np.frombuffer(strand.encode(), np.uint8)]
+    n = len(digits) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    out = digits[:n].copy()
+    for j in range(1, k):
+        out += digits[j : n + j] << 2 * j
+    return np.unique(out)
+
+
+def signature_of_long(seq, lsh: Lsh) -> Column:
+    """The same as ``signature``, for strands of thousands of bases: a batch at a time, in arrays of numbers."""
+    k, m, p, functions = lsh.k, lsh.m, lsh.p, lsh.functions
+
+    @F.pandas_udf("array<long>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(strand):
+            x = codes_of(strand, k) if strand is not None else ()
+            return [int(((a * x + b) % p % m).min()) for a, b in functions] if len(x) else None
+
+        return s.map(one)
+
+    return run(q._col(seq))
+
+
 def bands(sig: Column, lsh: Lsh) -> Column:
     size = lsh.r // lsh.b
     return F.transform(F.sequence(F.lit(0), F.lit(lsh.b - 1)), lambda i: F.struct(i.alias("band"), F.slice(sig, i * size + 1, size).alias("sig")))
 
 
-def index(df: DataFrame, key: str, seq: str, lsh: Lsh) -> DataFrame:
-    """(band, sig, key): a row for each band of each strand with k-mers."""
-    d = df.select(F.col(key).alias("key"), signature(seq, lsh).alias("s")).where("s IS NOT NULL")
+def index(df: DataFrame, key: str, seq: str, lsh: Lsh, long: bool = False) -> DataFrame:
+    """(band, sig, key): a row for each band of each strand with k-mers. long: strands have thousands of bases."""
+    d = df.select(F.col(key).alias("key"), (signature_of_long if long else signature)(seq, lsh).alias("s")).where("s IS NOT NULL")
     return d.select("key", F.explode(bands(F.col("s"), lsh)).alias("x")).select("x.band", "x.sig", "key")
 
 

@@ -55,6 +55,12 @@ def least_distance(index: DataFrame, strands: DataFrame, probes: DataFrame, lsh:
     return probes.select(F.col("id").alias("probe")).join(best, "probe", "left").select("probe", F.coalesce("distance", F.lit(1.0)).alias("distance"))
 
 
+def distances(candidates_: DataFrame, strands: DataFrame, k: int) -> DataFrame:
+    """(probe, key, distance) of candidate pairs (probe, key) by the k-mers of long strands (id, seq)."""
+    named = candidates_.join(strands.select(F.col("id").alias("key"), F.col("seq").alias("b")), "key").join(strands.select(F.col("id").alias("probe"), F.col("seq").alias("a")), "probe")
+    return named.select("probe", "key", distance.jaccard_of_long("a", "b", k).alias("distance"))
+
+
 def bloom_store(index: DataFrame, lsh: minhash.Lsh, bloom: minhash.Bloom) -> DataFrame:
     """(band, bit): a Bloom filter for each band, of the buckets that have entries. Nothing can be removed from it."""
     return index.select("band", F.explode(bloom.positions(minhash.band_key(F.col("sig"), lsh))).alias("bit")).distinct()

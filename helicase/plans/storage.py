@@ -12,7 +12,7 @@ from helicase.plans import sequences
 from helicase.plans.base import query, sql_encode, sql_strands, strands, table
 from helicase.shipping import spread
 from helicase.sources import delimited, records
-from helicase.tables import scratch
+from helicase.tables import checkpoint, scratch
 
 LSH = minhash.Lsh(k=5, r=6, b=3)
 
@@ -410,3 +410,27 @@ _named("store_list", lambda s, d: stored.get_lists(_lists(s, d), _regions(s, d))
 _named("store_list_oligos", lambda s, d: stored.list_oligos(_lists(s, d), _regions(s, d)).groupBy("collection_id").agg(F.count("*").alias("oligos")), f"WITH {_NATIONS} SELECT c.collection_id, (1 + (SELECT coalesce(sum({_SEGMENTS.format('34 + 4 * length(value)')}), 0) FROM n WHERE n.collection_id = c.collection_id))::BIGINT AS oligos FROM c")
 _named("store_list_append", lambda s, d: stored.get_lists(stored.append(_lists(s, d), _region_names(s, d)), _regions(s, d)), f"WITH {_NATIONS} SELECT * FROM n UNION ALL SELECT collection_id, len, r_name FROM c")
 _named("store_list_insert", lambda s, d: stored.get_lists(stored.insert(_lists(s, d), 1, _region_names(s, d).drop("ord")), _regions(s, d)), f"WITH {_NATIONS} SELECT collection_id, CASE WHEN pos >= 1 THEN pos + 1 ELSE pos END AS pos, value FROM n UNION ALL SELECT collection_id, least(1, len), r_name FROM c")
+
+
+# --- similarity of whole documents: near copies are what the index is for. SQL over all k-mers of all texts takes too
+# long, so these are tested against brute force on a small table.
+DOC_LSH = minhash.Lsh(k=12, r=16, b=4)
+
+
+def document_index(strands_: DataFrame) -> DataFrame:
+    return minhash.index(strands_, "id", "seq", DOC_LSH, long=True)
+
+
+def document_candidates(strands_: DataFrame) -> DataFrame:
+    """(probe, key) of every hundredth document against all: those that share a bucket."""
+    index = checkpoint(document_index(strands_))
+    return lsh.candidates(index, index.where("key % 100 = 0")).where("probe <> key")
+
+
+def document_distances(strands_: DataFrame) -> DataFrame:
+    return lsh.distances(checkpoint(document_candidates(strands_)), strands_, DOC_LSH.k).withColumn("distance", F.round("distance", 9))
+
+
+_named("lsh_document_index", lambda s, d: document_index(strands(s, d, "doc")))
+_named("lsh_document_candidates", lambda s, d: document_candidates(strands(s, d, "doc")))
+_named("lsh_document_distances", lambda s, d: document_distances(strands(s, d, "doc")))
