@@ -49,7 +49,7 @@ def counted(spark):
     return seen, Counted.sized(100, 0.01)
 
 
-@pytest.mark.parametrize("every", [True])
+@pytest.mark.parametrize("every", [True, False])
 def test_a_filter_is_asked_once_for_a_bucket(spark, every):
     entries = ["ACGTACCTGATTACAT", "TTGACCATGACCAGTA"]
     asked = [*entries, "GGGGGGGGGGGGG", entries[0][:9] + "GGGGGGG"]
