@@ -60,3 +60,31 @@ def test_a_filter_is_asked_once_for_a_bucket(spark, every):
     assert seen.value <= 100  # 2 and 4 strands in 3 bands, not 300 and 400
     there = set().union(*map(buckets, entries))
     assert got == {i: (all if every else any)(x in there for x in buckets(asked[i % 4])) for i in range(400)}
+
+
+@pytest.fixture(scope="module")
+def many():
+    """Strands in few buckets: copies, strands apart, short and empty ones."""
+    rnd = random.Random(5)
+    draw = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    base = [draw(40) for _ in range(6)]
+    rows = [(i, base[i % 6] if i % 3 else base[i % 6][:30] + draw(10)) for i in range(240)]
+    return [*rows, (240, ""), (241, "ACG"), (250, ""), (260, "ACG"), (242, None)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "id long, seq string").repartition(3)
+
+
+@pytest.mark.parametrize("band", [None])
+def test_pairs_of_candidates_are_not_gathered_again(spark, many, band):
+    index = minhash.index(frame(spark, many), "id", "seq", LSH)
+    index = lsh.remove(lsh.insert(index, index.where("key < 20")), spark.createDataFrame([(7,), (30,)], "key long"))
+    probes = minhash.index(frame(spark, [x for x in many if x[0] % 10 == 0]), "id", "seq", LSH)
+    df = lsh.candidates(index, probes, band)
+    held = {i: {x for x in buckets(s) if band in (None, x[0])} for i, s in many if s and len(s) >= 5}
+    want = sorted((p, k) for p in held if p % 10 == 0 for k in held if k not in (7, 30) and held[p] & held[k])
+    assert sorted(tuple(r) for r in df.collect()) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = [x.strip(" +-:") for x in plan[:3]]
+    assert not any(x.startswith("Aggregate") for x in top), top
