@@ -76,7 +76,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "id long, seq string").repartition(3)
 
 
-@pytest.mark.parametrize("band", [None])
+@pytest.mark.parametrize("band", [None, 1])
 def test_pairs_of_candidates_are_not_gathered_again(spark, many, band):
     index = minhash.index(frame(spark, many), "id", "seq", LSH)
     index = lsh.remove(lsh.insert(index, index.where("key < 20")), spark.createDataFrame([(7,), (30,)], "key long"))
