@@ -88,3 +88,34 @@ def test_pairs_of_candidates_are_not_gathered_again(spark, many, band):
     plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     top = [x.strip(" +-:") for x in plan[:3]]
     assert not any(x.startswith("Aggregate") for x in top), top
+
+
+def most_rows(df):
+    """The rows of a frame, and the most rows that any step of its plan gave."""
+    rows, seen = df.collect(), [0]
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        n = p.metrics().get("numOutputRows")
+        seen.append(n.get().value() if n.isDefined() else 0)
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(p.plan())
+        kids = p.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return rows, max(seen)
+
+
+def test_an_equal_strand_is_found_without_pairs(spark, many):
+    rows = [(i, s) for j in range(8) for i, s in ((1000 * j + i, s) for i, s in many)]
+    index = lsh.remove(minhash.index(frame(spark, rows), "id", "seq", LSH), spark.range(1, 8000, 6).withColumnRenamed("id", "key"))
+    asked = [x for x in rows if x[0] % 10 == 0] + [(-1 - i, s + "A") for i, s in rows if i % 10 == 0] + [(9001, many[1][1]), (9002, many[4][1])]
+    got, most = most_rows(lsh.query_exact(index, frame(spark, rows), frame(spark, asked), LSH))
+    held = {s for i, s in rows if s and len(s) >= 5 and i % 6 != 1}
+    assert sorted(map(tuple, got)) == sorted((i, s in held) for i, s in asked)
+    assert {s in held for i, s in asked if i > 9000} == {True}
+    assert most <= 6 * len(rows)  # three bands, and not the pairs, which are near a million
