@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helicase.functions import minhash
-from helicase.operators import lsh
+from helicase.operators import lsh, nearest
 
 LSH = minhash.Lsh(k=5, r=6, b=3)
 
@@ -119,3 +119,35 @@ def test_an_equal_strand_is_found_without_pairs(spark, many):
     assert sorted(map(tuple, got)) == sorted((i, s in held) for i, s in asked)
     assert {s in held for i, s in asked if i > 9000} == {True}
     assert most <= 6 * len(rows)  # three bands, and not the pairs, which are near a million
+
+
+def test_least_of_blocks(monkeypatch):
+    rnd = random.Random(6)
+    for k in (4, 7):
+        draw = lambda: "".join(rnd.choice("ACGT") for _ in range(rnd.choice([0, k, 12, 40])))  # noqa: B023, E731
+        p, e = [draw() for _ in range(23)], [draw() for _ in range(41)]
+        low, high, own = [*range(40), 3], [*range(30), *range(60, 70), 3], [i if i % 5 else None for i in range(23)]
+        want = []
+        for i, s in enumerate(p):
+            far = [1 - len(a & b) / len(a | b) for j, t in enumerate(e) if not (low[j] == high[j] == own[i]) and ((a := ranks(s, k)) | (b := ranks(t, k)))]
+            want.append(min(far) if far else None)
+        for cells in (1, 500, 1 << 20):
+            monkeypatch.setattr(nearest, "CELLS", cells)
+            got = nearest.least_of([nearest.packed(s, k) for s in p], own, [nearest.packed(s, k) for s in e], low, high, k)
+            assert [None if g != g else g for g in got.tolist()] == want
+
+
+@pytest.mark.parametrize("exclusive", [True, False])
+def test_least_distance_without_pairs(spark, many, exclusive):
+    rows = [(1000 * j + i, s) for j in range(4) for i, s in many] + [(5000, "ACGTTGCAACGGT" * 2), (5010, "ACGTTGCAACGGTTT")]
+    index = lsh.remove(minhash.index(frame(spark, rows), "id", "seq", LSH), spark.range(1, 4000, 6).withColumnRenamed("id", "key"))
+    asked = [x for x in rows if x[0] % 10 == 0]
+    got, most = most_rows(lsh.least_distance(index, frame(spark, rows), frame(spark, asked), LSH, exclusive))
+    held = {i: (ranks(s), buckets(s)) for i, s in rows if s and len(s) >= 5}
+    want = {}
+    for i, s in asked:
+        far = [1 - len(held[i][0] & x) / len(held[i][0] | x) for k, (x, b) in held.items() if i in held and (i != k or not exclusive) and not (k < 4000 and k % 6 == 1) and b & held[i][1]]
+        want[i] = min(far, default=1.0)
+    assert dict(map(tuple, got)) == want
+    assert len({x for x in want.values()}) > 1
+    assert most <= 6 * len(rows)
