@@ -151,3 +151,14 @@ def test_least_distance_without_pairs(spark, many, exclusive):
     assert dict(map(tuple, got)) == want
     assert len({x for x in want.values()}) > 1
     assert most <= 6 * len(rows)
+
+
+def test_a_condition_on_keys_costs_no_pairs(spark, many):
+    rows = [(1000 * j + i, s) for j in range(4) for i, s in many]
+    index, strands, asked = minhash.index(frame(spark, rows), "id", "seq", LSH), frame(spark, rows), frame(spark, [x for x in rows if x[0] % 10 == 0])
+    got, most = most_rows(lsh.least_distance(index, strands, asked, LSH, among=F.col("key") % 7 == 3))
+    assert most <= 6 * len(rows)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, lsh.least_distance(index, strands, asked, LSH, keep=F.col("key") % 7 == 3).collect()))
+    both = lsh.least_distance(index, strands, asked, LSH, keep=(F.col("key") + F.col("probe")) % 7 == 3, among=F.col("key") > 500).collect()
+    held = {i: (ranks(s), buckets(s)) for i, s in rows if s and len(s) >= 5}
+    assert {r["probe"]: r["distance"] for r in both} == {i: min((1 - len(held[i][0] & x) / len(held[i][0] | x) for k, (x, b) in held.items() if i in held and k != i and k > 500 and (k + i) % 7 == 3 and b & held[i][1]), default=1.0) for i, s in rows if i % 10 == 0}
