@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helicase.functions import codecs, distance, kernel, minhash, rules
+from helicase.functions import codecs, kernel, minhash, rules
 from helicase.functions import seq as q
+from helicase.operators import nearest
+from helicase.tables import checkpoint
 
 SCORED = rules.Rules({"gc": rules.gc_error, "hp": rules.hp_error}).freeze()
 
@@ -14,9 +16,9 @@ SCORED = rules.Rules({"gc": rules.gc_error, "hp": rules.hp_error}).freeze()
 def permutations(df: DataFrame, count: int) -> DataFrame:
     """(id, address, number, payload) for each of count permutations of (id, address, seq)."""
     kind = kernel.packed_type(count)
-    d = df.select("id", "address", "seq", F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1))).alias("number"))
-    body = codecs.permuted("seq", q.seed("seq") + F.col("number"))
-    return d.select("id", "address", "number", F.concat(codecs.pack("number", kind), body).alias("payload"))
+    numbers = F.array(*[F.struct(F.lit(i).alias("number"), codecs.pack(F.lit(i), kind).alias("packed")) for i in range(max(count, 1))])
+    d = df.select("id", "address", "seq", q.seed("seq").alias("seed"), F.explode(numbers).alias("x"))
+    return d.select("id", "address", "x.number", F.concat("x.packed", codecs.permuted("seq", F.col("seed") + F.col("x.number"))).alias("payload"))
 
 
 def choose(
@@ -29,13 +31,13 @@ def choose(
     any. A batch is scored against the index as it stands, so that its rows are independent; insert what was chosen
     before the next batch.
     """
-    made = permutations(df, count)
+    made = checkpoint(permutations(df, count))  # permuted once, read three times
     parts = made.select("id", "number", F.posexplode(q.split_every(F.concat("address", "payload"), chunk)).alias("part", "s"))
     both = parts.select("id", "number", "part", F.explode(F.array("s", q.complement("s"))).alias("s"))
-    both = both.withColumn("codes", F.array_distinct(q.kmer_codes("s", lsh.k)))
-    probes = both.select("id", "number", "part", "codes", F.explode(minhash.bands(minhash.signature_of(F.col("codes"), lsh), lsh)).alias("x")).select("id", "number", "part", "codes", "x.band", "x.sig")
-    hits = probes.join(index, ["band", "sig"]).join(stored.select(F.col("id").alias("key"), q.kmer_codes("seq", lsh.k).alias("other")), "key")
-    near = hits.groupBy("id", "number", "part").agg(F.min(distance.jaccard_of(F.col("codes"), F.col("other"))).alias("d"))
+    signed = both.select(F.struct("id", "number", "part").alias("probe"), nearest.packed_codes("s", lsh.k).alias("codes"), minhash.signature_of_long("s", lsh).alias("sig")).where("sig IS NOT NULL")
+    probes = signed.select("probe", "codes", F.lit(None).cast(index.schema["key"].dataType).alias("own"), F.explode(minhash.bands(F.col("sig"), lsh)).alias("x")).select("probe", "codes", "own", "x.band", "x.sig")
+    entries = index.join(stored.select(F.col("id").alias("key"), nearest.packed_codes("seq", lsh.k).alias("codes")), "key")
+    near = nearest.least(probes, entries, lsh.k).select("probe.*", F.col("distance").alias("d"))
     scored = parts.join(near, ["id", "number", "part"], "left")
     score: Column = -error_weight * SCORED.error("s") + distance_weight * F.coalesce("d", F.lit(1.0))
     total = scored.groupBy("id", "number").agg(F.sum(score).alias("score"))

@@ -162,3 +162,32 @@ def test_a_condition_on_keys_costs_no_pairs(spark, many):
     both = lsh.least_distance(index, strands, asked, LSH, keep=(F.col("key") + F.col("probe")) % 7 == 3, among=F.col("key") > 500).collect()
     held = {i: (ranks(s), buckets(s)) for i, s in rows if s and len(s) >= 5}
     assert {r["probe"]: r["distance"] for r in both} == {i: min((1 - len(held[i][0] & x) / len(held[i][0] | x) for k, (x, b) in held.items() if i in held and k != i and k > 500 and (k + i) % 7 == 3 and b & held[i][1]), default=1.0) for i, s in rows if i % 10 == 0}
+
+
+def test_payloads_meet_each_stored_strand_once(spark):
+    from helicase.operators import payloads
+
+    rnd = random.Random(9)
+    draw = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    small, base = minhash.Lsh(k=4, r=4, b=2), [draw(30), draw(50)]
+    stored = frame(spark, [(i, base[i % 2]) for i in range(400)])
+    new = spark.createDataFrame([(i, draw(20), draw(40)) for i in range(30)], "id long, address string, seq string")
+    df = payloads.choose(new, minhash.index(stored, "id", "seq", small), stored.groupBy("seq").agg(F.min("id").alias("id")), small, count=4, error_weight=0.0, chunk=50)
+    got, most = most_rows(df)
+
+    def held(s):
+        x = ranks(s, 4)
+        sig = [min((a * c + b) % small.p % small.m for c in x) for a, b in small.functions]
+        return x, {(b, *sig[2 * b : 2 * b + 2]) for b in range(2)}
+
+    def far(s):
+        both = [held(x) for x in (s, s.translate(str.maketrans("ACGT", "TGCA"))) if len(x) >= 4]
+        return min((1 - len(x & y) / len(x | y) for x, b in both for y, c in map(held, base) if b & c), default=1.0)
+
+    score = {}
+    for r in payloads.permutations(new, 4).collect():
+        oligo = r["address"] + r["payload"]
+        total = sum(far(oligo[i : i + 50]) for i in range(0, len(oligo), 50))
+        score.setdefault(r["id"], []).append((round(total, 9), -r["number"], r["payload"]))
+    assert {r["id"]: r["payload"] for r in got} == {i: max(x)[2] for i, x in score.items()}
+    assert most <= 30 * 4 * 2 * 2 * 2 + 400 * 2  # permutations, parts, strands and complements, bands; the index
