@@ -191,3 +191,20 @@ def test_payloads_meet_each_stored_strand_once(spark):
         score.setdefault(r["id"], []).append((round(total, 9), -r["number"], r["payload"]))
     assert {r["id"]: r["payload"] for r in got} == {i: max(x)[2] for i, x in score.items()}
     assert most <= 30 * 4 * 2 * 2 * 2 + 400 * 2  # permutations, parts, strands and complements, bands; the index
+
+
+def test_strands_of_pairs_travel_once(spark):
+    from helicase.operators import pairs
+
+    rnd = random.Random(4)
+    draw = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    assert all(pairs.unpack(pairs.pack(s)) == s for s in ["", *(draw(n) for n in range(1, 14))])
+    base = draw(400)
+    rows = [(i, base[: 200 + i] + draw(i % 7)) for i in range(120)] + [(200, base), (210, base), (220, "ACG"), (230, "")]
+    met = [(p, k) for p, _ in rows if p % 10 == 0 for k, _ in rows if p != k]
+    df = lsh.distances(spark.createDataFrame(met, "probe long, key long"), frame(spark, rows), 12)
+    got, most = most_rows(df.where("distance IS NULL OR distance >= 0"))
+    held = {i: ranks(s, 12) for i, s in rows}
+    assert {(r["probe"], r["key"]): r["distance"] for r in got} == {(p, k): 1 - len(held[p] & held[k]) / len(held[p] | held[k]) if held[p] | held[k] else None for p, k in met}
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapCoGroups" in x]
+    assert joins  # strands meet in blocks, not in a row for each pair
