@@ -208,3 +208,43 @@ def test_strands_of_pairs_travel_once(spark):
     assert {(r["probe"], r["key"]): r["distance"] for r in got} == {(p, k): 1 - len(held[p] & held[k]) / len(held[p] | held[k]) if held[p] | held[k] else None for p, k in met}
     joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapCoGroups" in x]
     assert joins  # strands meet in blocks, not in a row for each pair
+
+
+def rows_of(df, kind):
+    """The rows of a frame, and those that Python gave in steps of one kind."""
+    rows, seen = df.collect(), []
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(p.plan())
+        if name == kind:
+            seen.append(p.metrics().get("pythonNumRowsReceived").get().value())
+        kids = p.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return rows, seen
+
+
+@pytest.mark.parametrize("name", ["lsh_bloom_or", "lsh_bloom_and"])
+def test_equal_names_are_hashed_once(spark, tmp_path, name):
+    import duckdb
+
+    from helicase.plans import catalog
+
+    entries, asked = ["red anvil", "small widget", "x", "", None], ["red anvil", "red apple", "small widget", "tiny gear", "zz top zz", "q", "", None]
+    # a few ids stand for two names: a band counts where it has both
+    spark.createDataFrame([(i, entries[i % 5]) for i in range(900)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i % 790, asked[i * 7 % 8]) for i in range(800)], "p_partkey long, p_name string").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    got, hashed = rows_of(catalog.QUERIES[name](spark, str(tmp_path)), "ArrowEvalPythonExec")
+    assert hashed and sum(hashed) <= len(entries) + len(asked)
+    con = duckdb.connect()
+    for t in ("customer", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL[name]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {x for _, x in want} == {True, False}
