@@ -1,6 +1,7 @@
 """The similarity index on many equal strands: work follows the buckets, not the rows in them."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,23 @@ def test_pairs_of_candidates_are_not_gathered_again(spark, many, band):
     assert not any(x.startswith("Aggregate") for x in top), top
 
 
+@pytest.mark.parametrize("band", [None, 1])
+def test_pairs_of_a_large_class_are_dealt_out(spark, many, monkeypatch, band):
+    monkeypatch.setattr(lsh, "PROBES", 16)
+    monkeypatch.setattr(lsh, "ENTRIES", 32)
+    rows = [(1000 + i, many[0][1]) for i in range(1500)] + many
+    index, probes = minhash.index(frame(spark, rows), "id", "seq", LSH), minhash.index(frame(spark, [x for x in rows if x[0] % 10 == 0]), "id", "seq", LSH)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lsh.candidates(index, probes, band).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    held = {i: {x for x in buckets(s) if band in (None, x[0])} for i, s in rows if s and len(s) >= 5}
+    assert sorted((r["probe"], r["key"]) for r in got) == sorted((p, k) for p in held if p % 10 == 0 for k in held if held[p] & held[k])
+    assert 4 * max(Counter(r["at"] for r in got).values()) < len(got)
+
+
 def most_rows(df):
     """The rows of a frame, and the most rows that any step of its plan gave."""
     rows, seen = df.collect(), [0]
