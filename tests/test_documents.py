@@ -49,3 +49,64 @@ def test_candidates_and_distances_against_brute_force(spark, strands):
     near = {(p, k) for p in sets if p % 100 == 0 for k in sets if p != k and sets[p] and sets[k] and len(sets[p] & sets[k]) >= 0.8 * len(sets[p] | sets[k])}
     assert len(near) > 30
     assert len(near & want) >= 0.9 * len(near)
+
+
+def test_strands_are_made_once_for_distances(spark, strands):
+    """They were made for the index, for entries and for probes, which took most of the time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for x in frames:
+            seen.add(len(x))
+            yield x
+
+    df = spark.createDataFrame(strands, "id long, seq string").mapInPandas(count, "id long, seq string")
+    assert storage.document_distances(df).count() > 30
+    assert seen.value == len(strands)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"PROBES": 3, "ROWS": 5, "BITMAPS": 1}, {"BLOCK_BYTES": 700, "ENTRIES": 4}])
+def test_distances_in_blocks_of_any_size(spark, strands, monkeypatch, bounds):
+    """Copies among probes and entries, small blocks, slices and batches, and k-mers left out of the bitmaps."""
+    from helicase.operators import pairs
+
+    for name, value in bounds.items():
+        monkeypatch.setattr(pairs, name, value)
+    rows = [*strands, (1700, strands[0][1]), (1701, strands[0][1]), (1800, "A" * 12), (1801, "A" * 40)]
+    df = spark.createDataFrame(rows, "id long, seq string").repartition(3)
+    sets = {i: codes(s) for i, s in rows}
+    want = {tuple(r) for r in storage.document_candidates(df).collect()}
+    assert {(0, 1500), (1500, 1700), (1700, 1701), (1800, 1801)} <= want
+    got = storage.document_distances(df).collect()
+    assert len(got) == len(want)
+    assert {(r["probe"], r["key"]): r["distance"] for r in got} == {(p, k): pytest.approx(1 - len(sets[p] & sets[k]) / len(sets[p] | sets[k]), abs=1e-8) for p, k in want}
+
+
+def test_distances_of_bytes_are_those_of_their_bases(spark):
+    from helicase.functions import seq as q
+
+    rnd = random.Random(3)
+    words = ["data", "Straße", "naïve", "语言", "🙂", "of", "x\u0000y", "\n"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    rows = [(10 * i, t) for i, t in enumerate([*texts, "", None, "ab", "abc", "abc"])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    plain = storage.document_distances(df.select("id", F.encode("text", "UTF-8").alias("seq")))
+    bases = storage.document_distances(df.select("id", q.encode_2bit("text").alias("seq")))
+    got = sorted(tuple(r) for r in plain.collect())
+    assert len(got) > 200
+    assert got == sorted(tuple(r) for r in bases.collect())
+
+
+@pytest.mark.parametrize("k", [1, 5, 12, 13, 15])
+def test_packed_ranks_and_their_minima(k):
+    """Two long strands at once, as numbers that doubles hold and as others."""
+    from helicase.operators import pairs
+
+    rnd = random.Random(k)
+    lsh = minhash.Lsh(k=k, r=6, b=3)
+    for n in (0, k - 1, k, k + 1, 20, 21, 22, 23, 9000):
+        s = "".join(rnd.choice("ACGT") for _ in range(n))
+        ranks = pairs.ranks_of(pairs.pack(s), k)
+        assert ranks.tolist() == minhash.ranks_of(s, k).tolist()
+        if len(ranks):
+            assert minhash.least(minhash.codes_of(s, k), lsh).tolist() == [min((a * int(x) + b) % lsh.p % lsh.m for x in ranks) for a, b in lsh.functions]
